@@ -1,4 +1,51 @@
-"""From raw documents to a training mix, stage by stage."""
-ORACLE_SQL=None
-STAGES=[]
-def run(spark, sf_dir): pass
+"""From raw documents to a training mix, stage by stage.
+
+Each stage takes (spark, docs, sf_dir) and returns a table; all but the last return the columns of documents. A stage works
+on all that its predecessor kept. The mix gives a document's row as often as it is taken; the last stage turns every text
+into ids, which SQL can't, so there is no SQL for the whole.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from flowloom.llm import exact_dedup, minhash_dedup, mixing, piece_lattice, quality_rules
+from flowloom.llm.common import store, table
+from flowloom.llm.queries import tokenizer_file
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_filter(docs)
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return exact_dedup.drop_copies(docs)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return minhash_dedup.drop_near_copies(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mixture(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, lang, source, n_ids and ids of every row of the mix."""
+    coded, ids = piece_lattice.encode(docs, tokenizer_file("piece_bpe_32k.model"), carry=["doc_id", "lang", "source"])
+    return coded.select("doc_id", "lang", "source", F.size(ids).cast("long").alias("n_ids"), F.col(ids).alias("ids"))
+
+
+STAGES = [("quality rules", quality), ("exact dedup", exact), ("near dedup", near), ("mixing", mix), ("encoding", encode)]
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage, each stage written to the shared folder and read again as the next one's documents."""
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = store(docs, f"stage{k}")
+    return docs

@@ -82,3 +82,10 @@ def words(text: Column) -> Column:
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z and nothing else."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> SparkSession:
+    """Arrow batches of fewer rows than Spark's default, for whole texts; a value set by the user stays."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    return spark
