@@ -18,13 +18,20 @@ def fold(id: Column, folds: int) -> Column:
     return F.crc32(F.coalesce(id.cast("string"), F.lit("")).cast("binary")) % folds
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, id: str, text: str, where: Column, rows: int, most_bytes: int) -> tuple[list[str], np.ndarray]:
-    """Texts and labels of at most `rows` labelled documents of at most most_bytes, those with the smallest hash of their id."""
-    marks = labels.select(labels[id].alias("label_id"), labels[label].cast("double").alias("y")).where("y IS NOT NULL")
-    own = docs.select(docs[id].alias("id"), docs[text].alias("text")).where(where).where((F.octet_length(F.coalesce("text", F.lit(""))) <= most_bytes))
-    chosen = own.join(marks, F.col("id") == F.col("label_id")).orderBy(F.xxhash64("id"), F.xxhash64("text")).limit(rows)
-    found = chosen.select("text", "y").collect()  # bounded by rows and most_bytes
-    return [r["text"] or "" for r in found], np.array([r["y"] for r in found], np.float32)
+def sample(docs: DataFrame, labels: DataFrame, label: str, id: str, text: str, where: Column, rows: int, most_bytes: int, most_ones: int | None = None) -> tuple[list[str], np.ndarray, float]:
+    """Texts and labels of at most `rows` labelled documents of at most most_bytes, those with the smallest hash of their id; the share of label 1 among all labels.
+
+    With most_ones, up to so many have label 1, however rare it is."""
+    marks = labels.select(labels[id].alias("id"), labels[label].cast("double").alias("y")).where("y IS NOT NULL").where(where)
+    own = docs.select(docs[id].alias("id"), docs[text].alias("text")).where(F.octet_length(F.coalesce("text", F.lit(""))) <= most_bytes)
+    order = [F.xxhash64("id"), F.xxhash64("text")]
+    chosen = own.join(marks, "id")
+    if most_ones is None:
+        found = chosen.orderBy(*order).limit(rows).select("text", "y").collect()  # bounded by rows and most_bytes
+    else:
+        found = chosen.where("y = 1").orderBy(*order).limit(most_ones).select("text", "y").collect()
+        found += chosen.where("y = 0").orderBy(*order).limit(rows - len(found)).select("text", "y").collect()
+    return [r["text"] or "" for r in found], np.array([r["y"] for r in found], np.float32), float(marks.agg(F.avg("y")).first()[0] or 0.5)
 
 
 class Adam:

@@ -85,7 +85,7 @@ class ByteCNN:
             out.append(self._head(chunk, upto)[2])
         return np.concatenate(out) if out else np.zeros(0)
 
-    def fit(self, texts: list[str], y: np.ndarray, times: int = 4, batch: int = 32, rate: float = 0.005) -> ByteCNN:
+    def fit(self, texts: list[str], y: np.ndarray, times: int = 6, batch: int = 32, rate: float = 0.005) -> ByteCNN:
         adam = Adam(self.p, rate)
         for _, rows in epochs(len(texts), batch, times):
             adam.step(self._gradients(pa.array([texts[i] for i in rows]), y[rows]))
@@ -122,4 +122,4 @@ class ByteCNN:
 
 def fit(docs: DataFrame, labels: DataFrame, where: Column, label: str = "quality", id: str = "doc_id", text: str = "text", rows: int = FIT_ROWS, most_bytes: int = FIT_BYTES) -> ByteCNN:
     """Learn from at most `rows` labelled documents of at most most_bytes for which where holds."""
-    return ByteCNN().fit(*sample(docs, labels, label, id, text, where, rows, most_bytes))
+    return ByteCNN().fit(*sample(docs, labels, label, id, text, where, rows, most_bytes)[:2])

@@ -22,7 +22,7 @@ from flowloom.llm.fitting import Adam, epochs, sample, sigmoid
 BUCKETS, AFFIXES, CHARS, HIDDEN, WINDOW, PRIOR = 1 << 18, (4, 6, 8, -5), 4, 8, 16, 10.0
 INPUTS = 1 + len(AFFIXES) + CHARS
 #: Bounds of the sample to learn from.
-FIT_ROWS, FIT_BYTES = 8000, 60_000
+FIT_ROWS, FIT_BYTES, LIKELY = 6000, 60_000, 6
 
 
 def _token_spans(b: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -116,13 +116,14 @@ class WindowGRU:
         p = self.rate
         return (np.log((toxic + PRIOR * p) / (n - toxic + PRIOR * (1 - p))) - np.log(p / (1 - p))).astype(np.float32)
 
-    def fit(self, texts: list[str], y: np.ndarray, times: int = 8, batch: int = 64, rate: float = 0.01) -> WindowGRU:
+    def fit(self, texts: list[str], y: np.ndarray, prior: float, times: int = 8, batch: int = 64, rate: float = 0.01) -> WindowGRU:
+        """prior: the share of label 1 among all labelled documents, of which the sample may hold more."""
         if not len(texts) or not 0 < y.mean() < 1:
             self.p["out"][:] = 0
             return self
         self.rate = float(y.mean())
         column = pa.array(texts)
-        buckets, _, at, _ = self.tokens(column)
+        buckets, _, at, spans = self.tokens(column)
         doc = np.repeat(np.arange(len(y)), np.diff(at))
         toxic, seen = (np.zeros((len(buckets), BUCKETS), np.float32) for _ in range(2))
         for k, own in enumerate(buckets):
@@ -133,33 +134,40 @@ class WindowGRU:
         # a document that is learned from doesn't count in its own odds
         odds = np.stack([self._log_odds(toxic[k, own] - y[doc], seen[k, own] - 1) for k, own in enumerate(buckets)])
         which, upto = self.windows(at)
-        total = np.concatenate((odds.sum(axis=0), [0]))
-        rank, adam = total[which].max(axis=1), Adam(self.p, rate)
-        chosen = np.zeros(len(y), np.int64)
-        last = -1
+        rank = np.concatenate((odds.sum(axis=0), [0]))[which].max(axis=1)
+        order = np.lexsort((-rank, np.repeat(np.arange(len(y)), np.diff(upto))))
+        likely = [order[lo : min(hi, lo + LIKELY)] for lo, hi in zip(upto[:-1], upto[1:], strict=True)]  # each text's most suspect windows
+        best, adam, last = np.array([w[0] for w in likely]), Adam(self.p, rate), 0
         for e, rows in epochs(len(y), batch, times):
-            if e != last:  # the most toxic window of each document, as seen now
-                if e:
-                    rank = self.logits(self._inputs(buckets, self.tokens(column)[1], odds), which)
-                chosen = np.array([lo + int(np.argmax(rank[lo:hi])) for lo, hi in zip(upto[:-1], upto[1:], strict=True)])
-                spans, last = self.tokens(column)[3], e
-            adam.step(self._gradients(which[chosen[rows]], odds, spans, y[rows]))
+            if e != last:  # which of them is the most toxic, as seen now
+                best, last = self._best(likely, which, odds, spans), e
+            adam.step(self._gradients(which[best[rows]], odds, spans, y[rows]))
+        self.p["bias"] += np.float32(np.log(prior / (1 - prior)) - np.log(self.rate / (1 - self.rate)))
         return self
 
-    def _gradients(self, tokens: np.ndarray, odds: np.ndarray, spans: tuple, y: np.ndarray) -> dict[str, np.ndarray]:
-        """Gradients of the mean log-loss of windows [n, WINDOW] of token numbers."""
-        p, (b, s, e) = self.p, spans
-        own = tokens.ravel()
+    def _best(self, likely: list[np.ndarray], which: np.ndarray, odds: np.ndarray, spans: tuple) -> np.ndarray:
+        flat, upto = np.concatenate(likely), np.concatenate(([0], np.cumsum([len(w) for w in likely])))
+        logit = np.concatenate([self._forward(*self._window_inputs(which[flat[lo : lo + 1024]], odds, spans)[:2])[0] for lo in range(0, len(flat), 1024)])
+        return np.array([flat[lo + int(np.argmax(logit[lo:hi]))] for lo, hi in zip(upto[:-1], upto[1:], strict=True)])
+
+    def _window_inputs(self, tokens: np.ndarray, odds: np.ndarray, spans: tuple):
+        """Inputs of windows [n, WINDOW] of token numbers, their rows by place, and each byte's row, value and weight."""
+        (b, s, e), own = spans, tokens.ravel()
         live = np.flatnonzero(own >= 0)
         size = (e - s)[own[live]]
         owner = np.repeat(live, size)
-        byte = b[np.repeat(s[own[live]] - np.cumsum(size) + size, size) + np.arange(size.sum())]
+        byte = b[np.arange(size.sum()) + np.repeat(s[own[live]] - np.cumsum(size) + size, size)]
         weight = (1 / np.repeat(size, size)).astype(np.float32)
         x = np.zeros((len(own) + 1, INPUTS), np.float32)
         x[live, : len(odds)] = odds[:, own[live]].T
         for k in range(CHARS):
-            x[:-1, len(odds) + k] = np.bincount(owner, p["chars"][byte, k] * weight, len(own))
-        which = np.where(tokens >= 0, np.arange(len(own)).reshape(tokens.shape), len(own))
+            x[:-1, len(odds) + k] = np.bincount(owner, self.p["chars"][byte, k] * weight, len(own))
+        return x, np.where(tokens >= 0, np.arange(len(own)).reshape(tokens.shape), len(own)), (owner, byte, weight)
+
+    def _gradients(self, tokens: np.ndarray, odds: np.ndarray, spans: tuple, y: np.ndarray) -> dict[str, np.ndarray]:
+        """Gradients of the mean log-loss of windows [n, WINDOW] of token numbers."""
+        p = self.p
+        x, which, (owner, byte, weight) = self._window_inputs(tokens, odds, spans)
         logit, (sides, st, a, pooled) = self._forward(x, which, True)
         d = ((sigmoid(logit) - y) / len(y)).astype(np.float32)
         g = {"out": pooled.T @ d, "bias": d.sum(keepdims=True)}
@@ -193,5 +201,5 @@ class WindowGRU:
 
 
 def fit(docs: DataFrame, labels: DataFrame, where: Column, label: str = "toxic", id: str = "doc_id", text: str = "text", rows: int = FIT_ROWS, most_bytes: int = FIT_BYTES) -> WindowGRU:
-    """Learn from at most `rows` labelled documents of at most most_bytes for which where holds."""
-    return WindowGRU().fit(*sample(docs, labels, label, id, text, where, rows, most_bytes))
+    """Learn from at most `rows` labelled documents of at most most_bytes for which where holds, half of them toxic if there are so many."""
+    return WindowGRU().fit(*sample(docs, labels, label, id, text, where, rows, most_bytes, most_ones=rows // 2))
