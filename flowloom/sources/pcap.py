@@ -1,8 +1,9 @@
 """Capture files: a source and a sink.
 
 Reading goes through Spark's binary files, so any store that Spark reaches will do, in batch and as a stream; a file is
-parsed in one task, as its records can't be found from the middle. format("pcap") is the same as a Python data source, with
-filters on ts_us pushed into the reader, and the sink: a file for each partition, whose records keep their order.
+parsed in one task, as its records can't be found from the middle. format("pcap") is the same as a Python data source, and
+the sink: a file for each partition, whose records keep their order. No filter is pushed into that reader: it would keep
+the filters of one query for the next query over the same table.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from flowloom.functions.decode import packet_columns
 from flowloom.schema import CAPTURE, FILE_HEADER, LINK_ETHERNET, LINK_RAW_IP, PCAP_MAGIC, RECORD_HEADER, SNAP
@@ -100,19 +101,7 @@ class _Written(WriterCommitMessage):
 
 class _Reader(DataSourceReader):
     def __init__(self, path: str):
-        self.path, self.lo, self.hi = path, None, None
-
-    def pushFilters(self, filters: list[Filter]):  # noqa: N802
-        """Bounds of ts_us are taken over; all other filters stay with Spark."""
-        for f in filters:
-            if getattr(f, "attribute", None) == ("ts_us",) and isinstance(f, (GreaterThan, GreaterThanOrEqual)):
-                lo = f.value + isinstance(f, GreaterThan)
-                self.lo = lo if self.lo is None else max(self.lo, lo)
-            elif getattr(f, "attribute", None) == ("ts_us",) and isinstance(f, (LessThan, LessThanOrEqual)):
-                hi = f.value - isinstance(f, LessThan)
-                self.hi = hi if self.hi is None else min(self.hi, hi)
-            else:
-                yield f
+        self.path = path
 
     def partitions(self):
         fs, root = pafs.FileSystem.from_uri(self.path)
@@ -125,8 +114,7 @@ class _Reader(DataSourceReader):
         with fs.open_input_file(partition.path) as f:
             data = f.read_buffer()
         for ts, cap, whole, off, payload in records(data):
-            if (self.lo is None or ts >= self.lo) and (self.hi is None or ts <= self.hi):
-                yield (ts, cap, whole, partition.path, off, payload)
+            yield (ts, cap, whole, partition.path, off, payload)
 
 
 class _Writer(DataSourceWriter):
@@ -183,7 +171,6 @@ class PcapDataSource(DataSource):
 
 def register(spark: SparkSession) -> SparkSession:
     """Make format("pcap") known to a session."""
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(PcapDataSource)
     return spark
 
