@@ -8,8 +8,9 @@ no band with probability 6e-11.
 1. Each band bucket links its members to its least class (a star, linear in the bucket). Candidates whose signatures agree
    in fewer than 88 of 128 places (five standard deviations below 0.85) go, the rest are confirmed on their full sets.
 2. Components of the confirmed links. A bucket that lies within one component is settled, however many members it has.
-3. In the other buckets members of different components are compared, signatures first, and the components are
-   taken again with the links so found. No bucket is capped.
+3. Members of the other buckets of three or more are joined on the rarest members of their sets (the prefix filter, which
+   loses no pair): those of different components are compared, signatures first, and the components are taken again with
+   the links so found. No bucket is capped.
 
 Edge cases: null text counts as empty; rows with equal id and text tie, and the first in the input's files stays; an empty
 table gives an empty table; further columns pass through.
@@ -21,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -131,21 +132,41 @@ def _agreeing(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
 
 
-def _confirmed(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+def _confirmed(pairs: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
     """pairs (u, v) of classes whose full sets are similar enough."""
     near = pairs.join(reps.select(F.col("node").alias("u"), F.col("sig").alias("su")), "u").join(reps.select(F.col("node").alias("v"), F.col("sig").alias("sv")), "v").where(_agreeing(F.col("su"), F.col("sv")) >= AGREE).select("u", "v")
     near = store(near, "candidates")
-    texts = near.join(reps.select(F.col("node").alias("u"), F.col("text").alias("ta")), "u").join(reps.select(F.col("node").alias("v"), F.col("text").alias("tb")), "v")
-    return store(texts.select("u", "v", "ta", "tb").mapInArrow(_confirm, "u long, v long"), "links")
+    both = near.join(texts.select(F.col("node").alias("u"), F.col("text").alias("ta")), "u").join(texts.select(F.col("node").alias("v"), F.col("text").alias("tb")), "v")
+    return store(both.select("u", "v", "ta", "tb").mapInArrow(_confirm, "u long, v long"), "links")
 
 
-def _cross_pairs(buckets: DataFrame, roots: DataFrame, links: DataFrame) -> DataFrame:
-    """Pairs of classes that share a bucket but not a component."""
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """node, root, set size and shingle: a row for each member of a set."""
+    for batch in batches:
+        for lo in range(0, len(batch), 64):
+            part = batch.slice(lo, 64)
+            sets, at = shingle_sets(part.column(2))
+            n = np.diff(at)
+            each = pa.array(np.repeat(np.arange(len(part)), n))
+            yield pa.RecordBatch.from_arrays([part.column(0).take(each), part.column(1).take(each), pa.array(np.repeat(n, n)), pa.array(sets.view(np.int64))], names=["node", "root", "n", "h"])
+
+
+def _cross_pairs(buckets: DataFrame, roots: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs of classes in open buckets (of three or more, in several components) that may be similar and aren't yet connected.
+
+    Two sets of similarity t share one of their |x| - ceil(t |x|) + 1 members that come first in any common order. Rarest
+    first, these are the members that a text shares with few others, so a text that is far from a large group meets none of it."""
     placed = buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    open_ = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("key", "n")
-    placed = store(placed.join(open_, "key"), "open")
-    left, right = placed.select("key", F.col("node").alias("u"), F.col("root").alias("ru")), placed.select("key", F.col("node").alias("v"), F.col("root").alias("rv"))
-    return left.join(right, "key").where("u < v AND ru <> rv").select("u", "v").distinct()
+    open_ = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo <> hi AND n > 2").select("key")
+    nodes = store(placed.join(open_, "key", "left_semi").select("node", "root").distinct(), "open")
+    members = store(nodes.join(texts, "node").select("node", "root", "text").mapInArrow(_members, "node long, root long, n long, h long"), "members")
+    shared = members.groupBy("h").agg(F.count("*").alias("df"))
+    ranked = members.join(shared, "h").withColumn("at", F.row_number().over(Window.partitionBy("node").orderBy("df", "h")))  # one text's members
+    first = store(ranked.where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1).where("df > 1").select("h", "node", "root"), "prefixes")
+    apart = first.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("h")
+    first = first.join(apart, "h", "left_semi")
+    left, right = first.select("h", F.col("node").alias("u"), F.col("root").alias("ru")), first.select("h", F.col("node").alias("v"), F.col("root").alias("rv"))
+    return left.join(right, "h").where("u < v AND ru <> rv").select("u", "v").distinct()
 
 
 def near_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", carry: list[str] | None = None) -> tuple[DataFrame, str]:
@@ -158,14 +179,17 @@ def near_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", carry:
     schema = T.StructType([*rows.schema.fields, *T._parse_datatype_string("n long, k1 long, k2 long, bands array<long>, sig array<short>").fields])
     base = store(rows.mapInArrow(_sketch(3), schema), "sketches")
     classes = store(base.where("n > 0").groupBy("n", "k1", "k2").agg(F.min(F.struct("id", "row")).alias("best")).withColumn("node", F.col("best.row")), "classes")
-    reps = store(base.select("row", "text", "bands", "sig").join(classes.select(F.col("node").alias("row")), "row", "left_semi").withColumnRenamed("row", "node"), "classes")
+    reps = store(base.select("row", "bands", "sig").join(classes.select(F.col("node").alias("row")), "row", "left_semi").withColumnRenamed("row", "node"), "reps")
     buckets = reps.select("node", F.explode("bands").alias("key"))
     pivots = buckets.groupBy("key").agg(F.min("node").alias("v"), F.count("*").alias("n")).where("n > 1").select("key", "v")
     buckets = store(buckets.join(pivots, "key"), "buckets")
-    links = _confirmed(buckets.where("node <> v").select(F.col("node").alias("u"), "v").distinct(), reps)
+    met = buckets.select(F.col("node").alias("row")).distinct()
+    texts = store(base.select("row", "text").join(met, "row", "left_semi").withColumnRenamed("row", "node"), "texts")
+    links = _confirmed(buckets.where("node <> v").select(F.col("node").alias("u"), "v").distinct(), reps, texts)
     roots = connected_components(links)
-    more = _cross_pairs(buckets.select("key", "node"), roots, links).join(links.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")), ["u", "v"], "left_anti")
-    roots = connected_components(links.union(_confirmed(more, reps)))
+    more = _confirmed(_cross_pairs(buckets.select("key", "node"), roots, texts), reps, texts)
+    if not more.isEmpty():
+        roots = connected_components(links.union(more))
     joined = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     first = joined.groupBy("root").agg(F.min("best").alias("first"))
     places = store(joined.join(first, "root").select("n", "k1", "k2", "first"), "places")
