@@ -16,6 +16,7 @@ an empty table gives no file and an empty result; a text is held in one task's m
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
 import zlib
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from flowloom.llm import bytescan
 from flowloom.llm.common import scratch, small_batches, store
 
-MAGIC, END, SHARD_TOKENS, CACHE_PIECES = b"FLWM0001", 0, 1 << 21, 400_000
+MAGIC, END, SHARD_TOKENS, CACHE_PIECES = b"FLWM0001", 0, 1 << 21, 2_000_000
 
 
 class WaveletMatrix:
@@ -159,7 +160,7 @@ class PieceEncoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.slots: dict[int, int] = {}
+        self.known, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int32)  # hashes in order, and their places
         self.begin, self.flat = np.zeros(1, np.int64), np.zeros(0, np.uint32)
 
     @staticmethod
@@ -179,18 +180,18 @@ class PieceEncoder:
         starts = self._starts(b, cuts)
         ends = np.concatenate((starts[1:], [len(b)]))
         kinds, first, which = np.unique(bytescan.span_hashes(b, starts, ends), return_index=True, return_inverse=True)
-        if len(self.slots) + len(kinds) > CACHE_PIECES:
+        if len(self.known) + len(kinds) > CACHE_PIECES:
             self._clear()
-        keys = kinds.tolist()
-        new = [k for k, h in enumerate(keys) if h not in self.slots]
-        if new:
+        at = np.searchsorted(self.known, kinds)
+        new = np.flatnonzero(self.known[np.minimum(at, len(self.known) - 1)] != kinds) if len(self.known) else np.arange(len(kinds))
+        if len(new):
             raw = b.tobytes()
-            coded = [x.ids for x in self.tokenizer.encode_batch([raw[starts[i] : ends[i]].decode() for i in first[new].tolist()], add_special_tokens=False)]
-            base = len(self.begin) - 1
-            self.slots.update((keys[k], base + n) for n, k in enumerate(new))
+            coded = [x.ids for x in self.tokenizer.encode_batch([raw[i:j].decode() for i, j in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)], add_special_tokens=False)]
+            places = np.arange(len(self.begin) - 1, len(self.begin) - 1 + len(new), dtype=np.int32)
+            self.known, self.slots = np.insert(self.known, at[new], kinds[new]), np.insert(self.slots, at[new], places)
             self.begin = np.concatenate((self.begin, self.begin[-1] + np.cumsum([len(x) for x in coded])))
-            self.flat = np.concatenate((self.flat, np.fromiter((t for x in coded for t in x), np.uint32)))
-        slot = np.fromiter((self.slots[h] for h in keys), np.int64, len(keys))[which]
+            self.flat = np.concatenate((self.flat, np.fromiter(itertools.chain.from_iterable(coded), np.uint32)))
+        slot = self.slots[np.searchsorted(self.known, kinds)][which]
         size = self.begin[slot + 1] - self.begin[slot]
         upto = np.cumsum(size)
         return self.flat[np.arange(upto[-1]) + np.repeat(self.begin[slot] - upto + size, size)], starts, size
