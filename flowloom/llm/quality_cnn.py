@@ -85,7 +85,9 @@ class ByteCNN:
             out.append(self._head(chunk, upto)[2])
         return np.concatenate(out) if out else np.zeros(0)
 
-    def fit(self, texts: list[str], y: np.ndarray, times: int = 6, batch: int = 32, rate: float = 0.005) -> ByteCNN:
+    def fit(self, texts: list[str], y: np.ndarray, batch: int = 32, rate: float = 0.005) -> ByteCNN:
+        """Six passes over the sample, more if it is small."""
+        times = max(6, min(60, 20_000 // max(len(texts), 1)))
         adam = Adam(self.p, rate)
         for _, rows in epochs(len(texts), batch, times):
             adam.step(self._gradients(pa.array([texts[i] for i in rows]), y[rows]))
