@@ -22,7 +22,7 @@ from flowloom.llm.fitting import Adam, epochs, sample, sigmoid
 BUCKETS, AFFIXES, CHARS, HIDDEN, WINDOW, PRIOR = 1 << 18, (4, 6, 8, -5), 4, 8, 16, 10.0
 INPUTS = 1 + len(AFFIXES) + CHARS
 #: Bounds of the sample to learn from.
-FIT_ROWS, FIT_BYTES, LIKELY = 6000, 60_000, 6
+FIT_ROWS, FIT_BYTES, LIKELY = 3000, 40_000, 6
 
 
 def _token_spans(b: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -71,8 +71,8 @@ class WindowGRU:
         n = np.maximum(1, -(-(size - half) // half))
         upto = np.concatenate(([0], np.cumsum(n)))
         first = np.repeat(at[:-1], n) + half * (np.arange(upto[-1]) - np.repeat(upto[:-1], n))
-        which = first[:, None] + np.arange(WINDOW)
-        return np.where(which < np.repeat(at[1:], n)[:, None], which, -1), upto
+        which = first[:, None].astype(np.int32) + np.arange(WINDOW, dtype=np.int32)
+        return np.where(which < np.repeat(at[1:], n)[:, None], which, np.int32(-1)), upto
 
     def _inputs(self, buckets: np.ndarray, chars: np.ndarray, odds: np.ndarray | None = None) -> np.ndarray:
         odds = np.stack([o[k] for o, k in zip(self.odds, buckets, strict=True)]) if odds is None else odds
@@ -125,10 +125,10 @@ class WindowGRU:
         self.rate = float(y.mean())
         column = pa.array(texts)
         buckets, _, at, spans = self.tokens(column)
-        doc = np.repeat(np.arange(len(y)), np.diff(at))
+        doc = np.repeat(np.arange(len(y), dtype=np.int32), np.diff(at))
         toxic, seen = (np.zeros((len(buckets), BUCKETS), np.float32) for _ in range(2))
         for k, own in enumerate(buckets):
-            once = np.unique(doc.astype(np.int64) * BUCKETS + own)
+            once = np.unique(doc.astype(np.uint32) * np.uint32(BUCKETS) + own.astype(np.uint32))  # under 2^14 texts
             seen[k] = np.bincount(once % BUCKETS, minlength=BUCKETS)
             toxic[k] = np.bincount(once % BUCKETS, y[once // BUCKETS], BUCKETS)
         self.odds = self._log_odds(toxic, seen)
