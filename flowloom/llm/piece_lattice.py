@@ -35,8 +35,10 @@ from flowloom.llm import bytescan
 from flowloom.llm.common import fresh, let, small_batches, store
 
 SPACE, SHORT = "▁", 61
-#: Bounds of the dictionary that goes to every executor, and of the sample it comes from.
-FREQUENT_WORDS, SAMPLE_TEXTS = 200_000, 20_000
+#: Bounds of the dictionary that goes to every executor, and about how many texts it comes from (those whose hash is divisible by a number).
+FREQUENT_WORDS, SAMPLE_TEXTS = 500_000, 20_000
+#: Words whose edges one task groups.
+WORDS_A_PART = 20_000
 
 
 class Pieces:
@@ -122,9 +124,14 @@ def _substrings(longest: int):
 def encode_words(words: DataFrame, pieces: Pieces, unigram: bool = False) -> DataFrame:
     """(word, ids) of a table of distinct words (word), whose blanks are SPACE. The piece table is broadcast: it is as large as the vocabulary."""
     n = F.length("word")
-    table = F.broadcast(pieces.table(words.sparkSession))
-    spots = F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda s: F.transform(F.sequence(F.lit(1), F.least(F.lit(pieces.longest), n - s)), lambda k: F.struct(s.alias("s"), (s + k).alias("e"), F.substring(F.col("word"), s + 1, k).alias("sub")))))
-    short = words.where(n <= SHORT).select("word", n.alias("n"), F.explode(spots).alias("x")).select("word", "n", "x.*")
+    spark = words.sparkSession
+    spark.conf.set("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", 2 * WORDS_A_PART)  # a partition's words are grouped in memory
+    words = words.repartition(max(1, -(-words.count() // WORDS_A_PART)), "word")
+    table = F.broadcast(pieces.table(spark))
+    most = F.least(F.lit(pieces.longest), n)
+    spots = words.where(n <= SHORT).select("word", n.alias("n"), most.alias("most"), F.explode(F.sequence(F.lit(0), n * most - 1)).alias("i"))
+    spots = spots.select("word", "n", F.floor(F.col("i") / F.col("most")).cast("int").alias("s"), (F.col("i") % F.col("most") + 1).alias("k")).where("s + k <= n")
+    short = spots.select("word", "n", "s", (F.col("s") + F.col("k")).alias("e"), F.substring(F.col("word"), F.col("s") + 1, F.col("k")).alias("sub"))
     codes = F.array(*map(F.lit, pieces.bytes))
     raw = F.hex(F.col("sub").cast("binary"))
     as_bytes = F.transform(F.sequence(F.lit(1), F.length(raw), F.lit(2)), lambda i: codes[F.conv(F.substring(raw, i, F.lit(2)), 16, 10).cast("int")])
@@ -253,13 +260,15 @@ def encode(docs: DataFrame, model: str, text: str = "text", carry: list[str] | N
     known = F.xxhash64(F.coalesce(docs[text], F.lit("")))
     texts = docs.select(known.alias("h"), docs[text].alias("text"))
     empty = spark.sparkContext.broadcast(Dictionary(np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, np.int32)))
-    few = texts.select("h", "text").orderBy("h").limit(sampled).mapInArrow(_missing(empty), "h long, word string")
+    every = max(1, texts.count() // sampled)
+    few = texts.where(F.pmod("h", F.lit(every)) == 0).mapInArrow(_missing(empty), "h long, word string")
     common = few.groupBy("word").count().orderBy(F.desc("count"), "word").limit(frequent).select("word")
+    common = store(common, "common")
     found = encode_words(common, pieces).toArrow().combine_chunks()  # at most `frequent` rows
     column = lambda c: found.column(c).combine_chunks() if isinstance(found.column(c), pa.ChunkedArray) else found.column(c)
     shared = spark.sparkContext.broadcast(Dictionary.of(column("word"), column("ids")))
     rare = store(texts.mapInArrow(_missing(shared), "h long, word string").distinct(), "rare")
-    coded = store(encode_words(rare.select("word").distinct(), pieces), "coded")
+    coded = store(encode_words(store(rare.select("word").distinct(), "words"), pieces), "coded")
     patches = rare.join(coded, "word").groupBy("h").agg(F.collect_list(F.struct("word", "ids")).alias("patch"))  # no more than the words of one text
     own = F.struct(F.lit(0).alias("_"), *(docs[c].alias(f"c{i}") for i, c in enumerate(carry) if c != text))
     rows = docs.select(own.alias("own"), docs[text].alias("text"), known.alias("h")).join(patches, "h", "left")
