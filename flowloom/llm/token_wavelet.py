@@ -1,4 +1,4 @@
-"""Token ids in one compressed file a shard: a wavelet matrix (Claude, Navarro and Ordonez, 2015).
+"""Token ids in one compressed file a shard: a wavelet matrix (Information Systems 47, 2015).
 
 A shard's ids are split into bit-planes, the highest bit first; each plane stably moves its zeros before its ones. With
 counts of ones a machine word, a plane answers rank and select, and the planes together answer: the token at a place,

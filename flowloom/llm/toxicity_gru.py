@@ -118,7 +118,7 @@ class WindowGRU:
 
     def fit(self, texts: list[str], y: np.ndarray, prior: float, batch: int = 64, rate: float = 0.01) -> WindowGRU:
         """prior: the share of label 1 among all labelled documents, of which the sample may hold more. Eight passes, more if the sample is small."""
-        times = max(8, min(40, 30_000 // max(len(texts), 1)))
+        times = max(8, min(40, 24_000 // max(len(texts), 1)))
         if not len(texts) or not 0 < y.mean() < 1:
             self.p["out"][:] = 0
             return self
