@@ -19,18 +19,19 @@ def fold(id: Column, folds: int) -> Column:
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, id: str, text: str, where: Column, rows: int, most_bytes: int, most_ones: int | None = None) -> tuple[list[str], np.ndarray, float]:
-    """Texts and labels of at most `rows` labelled documents of at most most_bytes, those with the smallest hash of their id; the share of label 1 among all labels.
+    """Texts and labels of at most `rows` labelled documents, those with the smallest hash of their id, without texts of more than most_bytes; the share of label 1 among all labels.
 
-    With most_ones, up to so many have label 1, however rare it is."""
-    marks = labels.select(labels[id].alias("id"), labels[label].cast("double").alias("y")).where("y IS NOT NULL").where(where)
-    own = docs.select(docs[id].alias("id"), docs[text].alias("text")).where(F.octet_length(F.coalesce("text", F.lit(""))) <= most_bytes)
-    order = [F.xxhash64("id"), F.xxhash64("text")]
-    chosen = own.join(marks, "id")
+    With most_ones, up to so many have label 1, however rare it is. The ids are chosen among the labels alone, so no text is
+    shuffled; they are at most `rows` and go to every executor. An id with several labels has the larger."""
+    marks = labels.select(labels[id].alias("id"), labels[label].cast("double").alias("y")).where("y IS NOT NULL").where(where).groupBy("id").agg(F.max("y").alias("y"))
+    first = lambda m, n: m.orderBy(F.xxhash64("id")).limit(n)
     if most_ones is None:
-        found = chosen.orderBy(*order).limit(rows).select("text", "y").collect()  # bounded by rows and most_bytes
+        chosen = first(marks, rows)
     else:
-        found = chosen.where("y = 1").orderBy(*order).limit(most_ones).select("text", "y").collect()
-        found += chosen.where("y = 0").orderBy(*order).limit(rows - len(found)).select("text", "y").collect()
+        ones = first(marks.where("y = 1"), most_ones)
+        chosen = ones.union(first(marks.where("y = 0"), rows - ones.count()))
+    own = docs.select(docs[id].alias("id"), docs[text].alias("text")).where(F.octet_length(F.coalesce("text", F.lit(""))) <= most_bytes)
+    found = own.join(F.broadcast(chosen), "id").select("text", "y").limit(rows).collect()  # bounded by rows and most_bytes
     return [r["text"] or "" for r in found], np.array([r["y"] for r in found], np.float32), float(marks.agg(F.avg("y")).first()[0] or 0.5)
 
 
