@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import atexit
-import shutil
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,9 +47,17 @@ def registered(sql: str | None = None, name: str | None = None):
     return add
 
 
-def scratch_dir() -> str:
-    path = tempfile.mkdtemp(prefix="flowloom-", dir="/tmp")
-    atexit.register(shutil.rmtree, path, ignore_errors=True)
+def scratch_dir(spark: SparkSession) -> str:
+    """A new path in the folder that driver and executors share (spark.checkpoint.dir; a temporary one where it is unset), removed at the end."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    path = f"{(shared or tempfile.gettempdir()).rstrip('/')}/flowloom-{uuid.uuid4().hex}"
+
+    def remove() -> None:
+        if spark.sparkContext._jsc is not None:
+            hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+    atexit.register(remove)
     return path
 
 
@@ -224,7 +232,7 @@ def zorder_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered(f"WITH {PK} SELECT seq, src_port, dst_port FROM pk WHERE src_port BETWEEN 1025 AND 1027 AND dst_port BETWEEN 50 AND 450")
 def zorder_box(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A rectangle looked up in files that are clustered by z."""
-    path = f"{scratch_dir()}/clustered"
+    path = f"{scratch_dir(spark)}/clustered"
     index.write_clustered(packets(spark, sf_dir).select("seq", "src_port", "dst_port"), path, "src_port", "dst_port", 4)
     return index.box(spark.read.parquet(path), "src_port", "dst_port", 1025, 50, 1027, 450, "z").select("seq", "src_port", "dst_port")
 
@@ -278,7 +286,7 @@ def pointers(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered(f"WITH {PK} SELECT ts_us, src_ip, dst_ip, src_port, dst_port, tcp_flags FROM pk")
 def pcap_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packets written as capture files and read back."""
-    path = f"{scratch_dir()}/capture"
+    path = f"{scratch_dir(spark)}/capture"
     pcap.write_pcap(pcap.payload_of(packets(spark, sf_dir)), path)
     return pcap.decoded(pcap.read_pcap(spark, f"{path}/*.pcap")).select("ts_us", "src_ip", "dst_ip", "src_port", "dst_port", "tcp_flags")
 
@@ -286,7 +294,7 @@ def pcap_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered(f"WITH {LK} SELECT key, count(*) AS n FROM (SELECT src_ip AS key FROM sg WHERE is_head = 1) WHERE key IN (167772165, 167772170, 1) GROUP BY key")
 def bloom_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Point lookups in index files that have Bloom filters."""
-    path = f"{scratch_dir()}/index"
+    path = f"{scratch_dir(spark)}/index"
     index.write(index.compact(index.postings(flows.heads(linked_packets(spark, sf_dir)), 0)), path, 4, distinct=10_000)
     return spark.read.parquet(path).where(F.col("key").isin(167772165, 167772170, 1)).groupBy("key").agg(F.sum("n").alias("n"))
 
@@ -294,7 +302,7 @@ def bloom_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered(f"WITH {LK} SELECT seq, off, is_head, segment FROM sg")
 def stream_flow_link(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flow linking as a stream over files of packets in order of arrival."""
-    path = scratch_dir()
+    path = scratch_dir(spark)
     rows = offset_packets(spark, sf_dir)
     last = rows.agg(F.max("seq")).first()[0] or 0
     for k in range(3):
