@@ -53,6 +53,15 @@ def intersect(*found: DataFrame) -> DataFrame:
     return out
 
 
+def intersect_ranges(heads: DataFrame, ranges: dict[int, tuple[int, int]]) -> DataFrame:
+    """Addresses of heads that lie in a range of each of several numeric indexes, both ends included: one pass over all postings."""
+    postings = F.explode(F.array(*(F.struct(F.lit(k).alias("index_id"), F.col(INDEXES[k][1][0]).cast("long").alias("key")) for k in ranges)))
+    found = F.lit(False)
+    for k, (lo, hi) in ranges.items():
+        found = found | ((F.col("p.index_id") == k) & F.col("p.key").between(lo, hi))
+    return heads.select("rx_id", "off", postings.alias("p")).where(found).groupBy("rx_id", "off").agg(F.countDistinct("p.index_id").alias("n")).where(F.col("n") == len(ranges)).select("rx_id", "off")
+
+
 def union(*found: DataFrame) -> DataFrame:
     """Addresses that any lookup has, once each."""
     out = found[0].select("rx_id", "off")

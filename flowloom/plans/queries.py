@@ -197,23 +197,24 @@ for _id, (_name, _) in INDEXES.items():
 def _lookups(spark: SparkSession, sf_dir: str):
     found = flows.heads(linked_packets(spark, sf_dir))
     blocks = lambda k: index.compact(index.postings(found, k))
-    return index.between(blocks(0), 167772160, 167772190), index.point(blocks(3), 443), index.between(blocks(2), 1025, 1028), index.point(blocks(1), 3232236032)
+    return index.between(blocks(0), 167772160, 167772190), index.point(blocks(3), 443)
 
 
 @registered(f"WITH {LK} SELECT rx_id, off FROM sg WHERE is_head = 1 AND src_ip BETWEEN 167772160 AND 167772190 AND dst_port = 443 AND src_port BETWEEN 1025 AND 1028 AND dst_ip = 3232236032")
 def postings_intersect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.intersect(*_lookups(spark, sf_dir))
+    ranges = {0: (167772160, 167772190), 3: (443, 443), 2: (1025, 1028), 1: (3232236032, 3232236032)}
+    return index.intersect_ranges(flows.heads(linked_packets(spark, sf_dir)), ranges)
 
 
 @registered(f"WITH {LK} SELECT rx_id, off FROM sg WHERE is_head = 1 AND (src_ip BETWEEN 167772160 AND 167772190 OR dst_port = 443)")
 def postings_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.union(*_lookups(spark, sf_dir)[:2])
+    return index.union(*_lookups(spark, sf_dir))
 
 
 @registered(f"WITH {LK} SELECT seq, caplen FROM sg WHERE is_head = 1 AND src_ip BETWEEN 167772160 AND 167772190 AND dst_port = 443")
 def pointer_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packets fetched by the addresses that an index intersection gives."""
-    return flows.fetch(offset_packets(spark, sf_dir), index.intersect(*_lookups(spark, sf_dir)[:2])).select("seq", "caplen")
+    return flows.fetch(offset_packets(spark, sf_dir), index.intersect(*_lookups(spark, sf_dir))).select("seq", "caplen")
 
 
 @registered(f"WITH {LK} SELECT src6 AS key, rx_id, off FROM sg WHERE is_head = 1 AND src6 LIKE '20010DB80000000000000000000000%'")
