@@ -162,11 +162,13 @@ def _cross_pairs(buckets: DataFrame, roots: DataFrame, texts: DataFrame) -> Data
     members = store(nodes.join(texts, "node").select("node", "root", "text").mapInArrow(_members, "node long, root long, n long, h long"), "members")
     shared = members.groupBy("h").agg(F.count("*").alias("df"))
     ranked = members.join(shared, "h").withColumn("at", F.row_number().over(Window.partitionBy("node").orderBy("df", "h")))  # one text's members
-    first = store(ranked.where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1).where("df > 1").select("h", "node", "root"), "prefixes")
+    first = store(ranked.where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1).where("df > 1").select("h", "node", "root", "n", "at"), "prefixes")
     apart = first.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("h")
     first = first.join(apart, "h", "left_semi")
-    left, right = first.select("h", F.col("node").alias("u"), F.col("root").alias("ru")), first.select("h", F.col("node").alias("v"), F.col("root").alias("rv"))
-    return left.join(right, "h").where("u < v AND ru <> rv").select("u", "v").distinct()
+    left, right = (first.select("h", F.col("node").alias(x), F.col("root").alias(f"r{x}"), F.col("n").alias(f"n{x}"), F.col("at").alias(f"a{x}")) for x in "uv")
+    # the first member that two sets share leaves room for enough others
+    room = f"{100 + PERCENT} * (1 + least(nu - au, nv - av)) >= {PERCENT} * (nu + nv)"
+    return left.join(right, "h").where(f"u < v AND ru <> rv AND {room}").select("u", "v").distinct()
 
 
 def near_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", carry: list[str] | None = None) -> tuple[DataFrame, str]:
