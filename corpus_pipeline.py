@@ -14,6 +14,9 @@ from flowloom.llm import exact_dedup, minhash_dedup, mixing, piece_lattice, qual
 from flowloom.llm.common import store, table
 from flowloom.llm.queries import tokenizer_file
 
+#: Similarity from which the mix counts documents as near duplicates; op6 has its own, 85.
+NEAR_PERCENT = 80
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.quality_filter(docs)
@@ -24,7 +27,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return minhash_dedup.drop_near_copies(docs)
+    return minhash_dedup.drop_near_copies(docs, percent=NEAR_PERCENT)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

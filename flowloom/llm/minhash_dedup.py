@@ -3,10 +3,11 @@
 A text's set is its distinct 5-word shingles after lower-casing A-Z (fewer words: the whole sequence; none: empty, linked
 with nothing), held as 64-bit hashes. Texts with the same set (128 bits over all its members, and its size) form a class,
 so copies never meet in pairs. Each class has 128 universal hash minima in 32 bands of 4: a pair of similarity 0.85 shares
-no band with probability 6e-11.
+no band with probability 6e-11, one of 0.80 with probability 5e-8. The threshold is `percent`, 85 unless told otherwise.
 
 1. Each band bucket links its members to its least class (a star, linear in the bucket). Candidates whose signatures agree
-   in fewer than 88 of 128 places (five standard deviations below 0.85) go, the rest are confirmed on their full sets.
+   in too few of 128 places (88 at 0.85; a pair at the threshold has fewer with probability `MISS` at most) go, the rest are
+   confirmed on their full sets.
 2. Components of the confirmed links. A bucket that lies within one component is settled, however many members it has.
 3. Members of the other buckets of three or more are joined on the rarest members of their sets (the prefix filter, which
    loses no pair): those of different components are compared, signatures first, and the components are taken again with
@@ -18,6 +19,7 @@ table gives an empty table; further columns pass through.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +32,9 @@ from flowloom.llm import bytescan
 from flowloom.llm.common import fresh, small_batches, store
 from flowloom.llm.components import connected_components
 
-WIDTH, HASHES, BANDS, PERCENT, AGREE = 5, 128, 32, 85, 88
+WIDTH, HASHES, BANDS, PERCENT = 5, 128, 32, 85
+#: Share of the pairs at the threshold that the comparison of signatures may lose.
+MISS = 1.1e-6
 _ROWS = HASHES // BANDS
 _rng = np.random.default_rng(20140613)
 _A, _B = (_rng.integers(0, 1 << 63, HASHES, np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
@@ -114,30 +118,41 @@ def _sketch(text: int):
     return sketch
 
 
-def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pairs whose full sets are similar enough."""
-    for batch in batches:
-        for lo in range(0, len(batch), 256):
-            part = batch.slice(lo, 256)
-            (a, a_at), (b, b_at) = (shingle_sets(part.column(c)) for c in ("ta", "tb"))
-            keep = []
-            for i in range(len(part)):
-                x, y = a[a_at[i] : a_at[i + 1]], b[b_at[i] : b_at[i + 1]]
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= PERCENT * (len(x) + len(y) - both))
-            yield part.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+def least_agreeing(percent: int) -> int:
+    """Places in which two signatures must agree, so that a pair at the threshold is lost with probability MISS at most."""
+    t, lost, k = percent / 100, 0.0, 0
+    while k < HASHES and (lost := lost + math.comb(HASHES, k) * t**k * (1 - t) ** (HASHES - k)) <= MISS:
+        k += 1
+    return k
+
+
+def _confirm(percent: int):
+    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The pairs whose full sets are similar enough."""
+        for batch in batches:
+            for lo in range(0, len(batch), 256):
+                part = batch.slice(lo, 256)
+                (a, a_at), (b, b_at) = (shingle_sets(part.column(c)) for c in ("ta", "tb"))
+                keep = []
+                for i in range(len(part)):
+                    x, y = a[a_at[i] : a_at[i + 1]], b[b_at[i] : b_at[i + 1]]
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    keep.append(100 * both >= percent * (len(x) + len(y) - both))
+                yield part.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    return confirm
 
 
 def _agreeing(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
 
 
-def _confirmed(pairs: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
+def _confirmed(pairs: DataFrame, reps: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """pairs (u, v) of classes whose full sets are similar enough."""
-    near = pairs.join(reps.select(F.col("node").alias("u"), F.col("sig").alias("su")), "u").join(reps.select(F.col("node").alias("v"), F.col("sig").alias("sv")), "v").where(_agreeing(F.col("su"), F.col("sv")) >= AGREE).select("u", "v")
+    near = pairs.join(reps.select(F.col("node").alias("u"), F.col("sig").alias("su")), "u").join(reps.select(F.col("node").alias("v"), F.col("sig").alias("sv")), "v").where(_agreeing(F.col("su"), F.col("sv")) >= least_agreeing(percent)).select("u", "v")
     near = store(near, "candidates")
     both = near.join(texts.select(F.col("node").alias("u"), F.col("text").alias("ta")), "u").join(texts.select(F.col("node").alias("v"), F.col("text").alias("tb")), "v")
-    return store(both.select("u", "v", "ta", "tb").mapInArrow(_confirm, "u long, v long"), "links")
+    return store(both.select("u", "v", "ta", "tb").mapInArrow(_confirm(percent), "u long, v long"), "links")
 
 
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,7 +166,7 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0).take(each), part.column(1).take(each), pa.array(np.repeat(n, n)), pa.array(sets.view(np.int64))], names=["node", "root", "n", "h"])
 
 
-def _cross_pairs(buckets: DataFrame, roots: DataFrame, texts: DataFrame) -> DataFrame:
+def _cross_pairs(buckets: DataFrame, roots: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Pairs of classes in open buckets (of three or more, in several components) that may be similar and aren't yet connected.
 
     Two sets of similarity t share one of their |x| - ceil(t |x|) + 1 members that come first in any common order. Rarest
@@ -162,17 +177,19 @@ def _cross_pairs(buckets: DataFrame, roots: DataFrame, texts: DataFrame) -> Data
     members = store(nodes.join(texts, "node").select("node", "root", "text").mapInArrow(_members, "node long, root long, n long, h long"), "members")
     shared = members.groupBy("h").agg(F.count("*").alias("df"))
     ranked = members.join(shared, "h").withColumn("at", F.row_number().over(Window.partitionBy("node").orderBy("df", "h")))  # one text's members
-    first = store(ranked.where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1).where("df > 1").select("h", "node", "root", "n", "at"), "prefixes")
+    first = store(ranked.where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).where("df > 1").select("h", "node", "root", "n", "at"), "prefixes")
     apart = first.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("h")
     first = first.join(apart, "h", "left_semi")
     left, right = (first.select("h", F.col("node").alias(x), F.col("root").alias(f"r{x}"), F.col("n").alias(f"n{x}"), F.col("at").alias(f"a{x}")) for x in "uv")
     # the first member that two sets share leaves room for enough others
-    room = f"{100 + PERCENT} * (1 + least(nu - au, nv - av)) >= {PERCENT} * (nu + nv)"
+    room = f"{100 + percent} * (1 + least(nu - au, nv - av)) >= {percent} * (nu + nv)"
     return left.join(right, "h").where(f"u < v AND ru <> rv AND {room}").select("u", "v").distinct()
 
 
-def near_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", carry: list[str] | None = None) -> tuple[DataFrame, str]:
-    """docs' columns (or those of carry) and a struct (n_shingles, component_id, kept); returns it and the struct's name."""
+def near_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", carry: list[str] | None = None, percent: int = PERCENT) -> tuple[DataFrame, str]:
+    """docs' columns (or those of carry) and a struct (n_shingles, component_id, kept); returns it and the struct's name.
+
+    Texts whose sets are similar by percent / 100 or more are linked."""
     carry = docs.columns if carry is None else carry
     small_batches(docs.sparkSession)
     (name,) = fresh(docs, "near")
@@ -187,9 +204,9 @@ def near_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", carry:
     buckets = store(buckets.join(pivots, "key"), "buckets")
     met = buckets.select(F.col("node").alias("row")).distinct()
     texts = store(base.select("row", "text").join(met, "row", "left_semi").withColumnRenamed("row", "node"), "texts")
-    links = _confirmed(buckets.where("node <> v").select(F.col("node").alias("u"), "v").distinct(), reps, texts)
+    links = _confirmed(buckets.where("node <> v").select(F.col("node").alias("u"), "v").distinct(), reps, texts, percent)
     roots = connected_components(links)
-    more = _confirmed(_cross_pairs(buckets.select("key", "node"), roots, texts), reps, texts)
+    more = _confirmed(_cross_pairs(buckets.select("key", "node"), roots, texts, percent), reps, texts, percent)
     if not more.isEmpty():
         roots = connected_components(links.union(more))
     joined = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
