@@ -2,10 +2,12 @@
 
 1. Each message is parsed: lines that begin with > marks form passages by quote level, a line that announces a quotation
    ("On ... wrote:") goes with it, and the rest is the message's own text. A passage is normalised (lower case, blanks
-   joined, so re-wrapped lines agree) and hashed with 128 bits, as are an own text's whole, paragraphs and longer lines.
+   joined, so re-wrapped lines agree). Of passages and own texts alike, the whole, each paragraph, each line and each
+   sentence are hashed with 128 bits, however short.
 2. Quoted hashes join the first message of the conversation that holds them, or else the first of all conversations. The
    messages that hold a hash are reduced to their first before the join, so it is many to one.
-3. A message replies to the message that its lowest quote level leads to; passages before lines, the latest turn first.
+3. A message replies to the message that its lowest quote level leads to; passages before lines and sentences, those of
+   under 20 characters last, the latest turn first.
    Thread root and depth follow by pointer doubling, in as many rounds as the logarithm of the longest chain.
 4. Messages are ordered by conversation, thread, depth and turn: a range partitioning, a count by partition and conversation,
    and row numbers inside partitions. A conversation of any length is spread over partitions, and becomes chats of at most
@@ -28,7 +30,10 @@ from pyspark.sql import functions as F
 
 from flowloom.llm.common import store
 
+#: Messages of a chat, and characters from which a line or sentence goes before shorter ones when a parent is chosen.
 MESSAGES, LINE_CHARS = 64, 20
+_STOPS, _CLOSERS = tuple(".!?…。！？"), "\"'”’»)]」』*_"
+_WIDE_STOP = re.compile(r"([。！？][」』”’]*)")
 _MARKS = re.compile(r"(?:[ \t]?>)+")
 _ANNOUNCES = re.compile(r"^\s*(?:(?:on|am|le|el)\b.*\b(?:wrote|schrieb|écrit|escribió)\b.*:|.*\b(?:wrote|schrieb|a écrit|escribió)\s*:)\s*$", re.IGNORECASE)
 
@@ -72,18 +77,38 @@ def _paragraphs(lines: list[str]) -> Iterator[str]:
             held = []
 
 
+def _sentences(paragraph: str) -> Iterator[str]:
+    """The sentences of a normalised paragraph: up to a word that ends in a full stop or the like, whatever closes after it."""
+    held: list[str] = []
+    for word in _WIDE_STOP.sub(r"\1 ", paragraph).split():
+        held.append(word)
+        if word.rstrip(_CLOSERS).endswith(_STOPS):
+            yield " ".join(held)
+            held = []
+    if held:
+        yield " ".join(held)
+
+
+def _parts(lines: list[str]) -> Iterator[tuple[int, str]]:
+    """(kind, text) of a text's parts: 0 whole, 1 paragraph, 2 line, 3 sentence, 4 line or sentence of under LINE_CHARS characters."""
+    yield 0, normal(" ".join(lines))
+    paragraphs = list(_paragraphs(lines))
+    yield from ((1, p) for p in paragraphs)
+    yield from ((2 if len(x) >= LINE_CHARS else 4, x) for x in map(normal, lines))
+    yield from ((3 if len(x) >= LINE_CHARS else 4, x) for p in paragraphs for x in _sentences(p))
+
+
 def own_hashes(own: str) -> list[bytes]:
-    lines = own.split("\n")
-    return list(dict.fromkeys(_hash(x) for x in (normal(own), *_paragraphs(lines), *(n for n in map(normal, lines) if len(n) >= LINE_CHARS)) if x))
+    return list(dict.fromkeys(_hash(x) for x in dict.fromkeys(x for _, x in _parts(own.split("\n"))) if x))
 
 
 def quote_hashes(passages: list[tuple[int, list[str]]]) -> list[dict]:
-    """Hashes to look up, with the passage's level and the kind of match: 0 whole, 1 paragraph, 2 line."""
+    """Hashes to look up, with the passage's level and the kind of match."""
     found: dict[bytes, dict] = {}
     for level, lines in passages:
-        for kind, x in ((0, normal(" ".join(lines))), *((1, p) for p in _paragraphs(lines)), *((2, n) for n in map(normal, lines) if len(n) >= LINE_CHARS)):
+        for kind, x in _parts(lines):
             if x:
-                found.setdefault(_hash(x), {"level": level, "kind": kind, "hash": _hash(x)})
+                found.setdefault(h := _hash(x), {"level": level, "kind": kind, "hash": h})
     return list(found.values())
 
 

@@ -1,7 +1,7 @@
 """Cases of which an earlier version did only a part."""
 
 import corpus_pipeline
-from flowloom.llm import minhash_dedup
+from flowloom.llm import minhash_dedup, quote_chat
 
 
 def similar(other: int) -> list[str]:
@@ -15,3 +15,25 @@ def test_near_stage_drops_from_eighty_percent(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert sorted(r["doc_id"] for r in corpus_pipeline.near(spark, docs, "").collect()) == [0, 2, 3]
     assert minhash_dedup.drop_near_copies(docs).count() == 4
+
+
+SHORT = [
+    ("a", 0, "user", "Can you come?\nBring the report."),
+    ("a", 1, "user", "> Can you come?\nYes."),
+    ("a", 2, "user", "> Bring the report.\n> Can you come?\nI will."),
+    ("b", 0, "user", "The first one is here. Take two of them! Then go on; nothing else is left.\n「一つ。二つ。」"),
+    ("b", 1, "user", "> take two\n> of them!\nDone."),
+    ("b", 2, "user", "> Take two of them! Then go on;\n> nothing else is left.\nDone as well."),
+    ("b", 3, "user", "> 二つ。」\nはい"),
+    ("b", 4, "user", "> Take three of them!\nNobody said so."),
+    ("c", 0, "user", "Well.\nThis line is long enough to tell."),
+    ("c", 1, "user", "Yes, of course.\nWe can."),
+    ("c", 2, "user", "> Yes, of course.\n> and a word\n> This line is long enough to tell.\nThe long line goes first."),
+]
+
+
+def test_short_lines_and_sentences_find_their_message(spark):
+    parsed = quote_chat.parse_messages(spark.createDataFrame(SHORT, "conv_id string, turn long, role string, text string"))
+    turn = {r["row"]: (r["conv"], r["turn"]) for r in parsed.collect()}
+    got = {turn[r["row"]]: turn[r["parent"]] for r in quote_chat.link_replies(parsed).where("NOT outside").collect()}
+    assert got == {("a", 1): ("a", 0), ("a", 2): ("a", 0), ("b", 1): ("b", 0), ("b", 2): ("b", 0), ("b", 3): ("b", 0), ("c", 2): ("c", 0)}
