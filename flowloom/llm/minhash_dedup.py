@@ -6,12 +6,12 @@ so copies never meet in pairs. Each class has 128 universal hash minima in 32 ba
 no band with probability 6e-11, one of 0.80 with probability 5e-8. The threshold is `percent`, 85 unless told otherwise.
 
 1. Each band bucket links its members to its least class (a star, linear in the bucket). Candidates whose signatures agree
-   in too few of 128 places (88 at 0.85; a pair at the threshold has fewer with probability `MISS` at most) go, the rest are
-   confirmed on their full sets.
+   in too few of 128 places (74 at 0.85, 65 at 0.80; a pair at the threshold has fewer with probability 3e-14 and 4e-14)
+   go, the rest are confirmed on their full sets.
 2. Components of the confirmed links. A bucket that lies within one component is settled, however many members it has.
 3. Members of the other buckets of three or more are joined on the rarest members of their sets (the prefix filter, which
-   loses no pair): those of different components are compared, signatures first, and the components are taken again with
-   the links so found. No bucket is capped.
+   itself loses no pair): those of different components are compared, signatures first as above, and the components are
+   taken again with the links so found. No bucket is capped.
 
 Edge cases: null text counts as empty; rows with equal id and text tie, and the first in the input's files stays; an empty
 table gives an empty table; further columns pass through.
@@ -34,7 +34,7 @@ from flowloom.llm.components import connected_components
 
 WIDTH, HASHES, BANDS, PERCENT = 5, 128, 32, 85
 #: Share of the pairs at the threshold that the comparison of signatures may lose.
-MISS = 1.1e-6
+MISS = 1e-13
 _ROWS = HASHES // BANDS
 _rng = np.random.default_rng(20140613)
 _A, _B = (_rng.integers(0, 1 << 63, HASHES, np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))

@@ -1,5 +1,7 @@
 """Cases of which an earlier version did only a part."""
 
+import math
+
 import corpus_pipeline
 from flowloom.llm import minhash_dedup, quote_chat
 
@@ -37,3 +39,10 @@ def test_short_lines_and_sentences_find_their_message(spark):
     turn = {r["row"]: (r["conv"], r["turn"]) for r in parsed.collect()}
     got = {turn[r["row"]]: turn[r["parent"]] for r in quote_chat.link_replies(parsed).where("NOT outside").collect()}
     assert got == {("a", 1): ("a", 0), ("a", 2): ("a", 0), ("b", 1): ("b", 0), ("b", 2): ("b", 0), ("b", 3): ("b", 0), ("c", 2): ("c", 0)}
+
+
+def test_signatures_lose_next_to_no_pair():
+    for percent in (80, 85, 95):
+        t, least = percent / 100, minhash_dedup.least_agreeing(percent)
+        lost = sum(math.comb(128, k) * t**k * (1 - t) ** (128 - k) for k in range(least))
+        assert lost <= 1e-13
