@@ -4,8 +4,9 @@
    ("On ... wrote:") goes with it, and the rest is the message's own text. A passage is normalised (lower case, blanks
    joined, so re-wrapped lines agree). Of passages and own texts alike, the whole, each paragraph, each line and each
    sentence are hashed with 128 bits, however short.
-2. Quoted hashes join the first message of the conversation that holds them, or else the first of all conversations. The
-   messages that hold a hash are reduced to their first before the join, so it is many to one.
+2. Quoted hashes join the first message of the conversation that holds them, or else that of the first other conversation.
+   The messages that hold a hash are reduced to the first of each conversation, and these to two conversations, before the
+   joins, so they are many to one.
 3. A message replies to the message that its lowest quote level leads to; passages before lines and sentences, those of
    under 20 characters last, the latest turn first.
    Thread root and depth follow by pointer doubling, in as many rounds as the logarithm of the longest chain.
@@ -133,11 +134,13 @@ def link_replies(parsed: DataFrame) -> DataFrame:
     wanted = quotes.select("hash").distinct()
     holds = holds.join(wanted, "hash", "left_semi")  # only hashes that some message quotes
     near = holds.groupBy("hash", "conv").agg(F.min(F.struct("t", "at")).alias("near"))
-    far = near.groupBy("hash").agg(F.min(F.struct("conv", "near.t", "near.at")).alias("far"))
+    place = F.row_number().over(Window.partitionBy("hash").orderBy("conv"))
+    two = near.withColumn("place", place).where("place <= 2")  # limited before the shuffle as well, so a common passage is no large group
+    far = two.groupBy("hash").agg(*(F.min(F.when(F.col("place") == k, F.struct("conv", "near.t", "near.at"))).alias(c) for k, c in ((1, "far"), (2, "next"))))
     met = quotes.join(near, ["hash", "conv"], "left").join(far, "hash", "left")
     inside = F.coalesce(F.col("near.t") < F.col("turn"), F.lit(False))
-    outside = F.col("far.conv") != F.col("conv")
-    met = met.withColumn("inside", inside).where(F.col("inside") | outside)
+    met = met.withColumn("inside", inside).withColumn("far", F.when(F.col("far.conv") != F.col("conv"), F.col("far")).otherwise(F.col("next")))
+    met = met.where(F.col("inside") | F.col("far").isNotNull())
     best = F.min(F.struct((~F.col("inside")).alias("outside"), "level", "kind", F.when(F.col("inside"), -F.col("near.t")).alias("late"), F.when(F.col("inside"), F.col("near.at")).otherwise(F.col("far.at")).alias("parent")))
     return store(met.groupBy("row").agg(best.alias("b")).select("row", "b.parent", "b.outside"), "links")
 

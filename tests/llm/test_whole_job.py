@@ -46,3 +46,11 @@ def test_signatures_lose_next_to_no_pair():
         t, least = percent / 100, minhash_dedup.least_agreeing(percent)
         lost = sum(math.comb(128, k) * t**k * (1 - t) ** (128 - k) for k in range(least))
         assert lost <= 1e-13
+
+
+def test_the_original_lies_in_the_second_conversation(spark):
+    rows = [("a", 0, "user", "> the passage in question\nFirst."), ("a", 1, "user", "the passage in question"), ("b", 0, "user", "the passage in question"), ("c", 0, "user", "> the passage in question\nThird.")]
+    parsed = quote_chat.parse_messages(spark.createDataFrame(rows, "conv_id string, turn long, role string, text string"))
+    turn = {r["row"]: (r["conv"], r["turn"]) for r in parsed.collect()}
+    got = {turn[r["row"]]: (turn[r["parent"]], r["outside"]) for r in quote_chat.link_replies(parsed).collect()}
+    assert got == {("a", 0): (("b", 0), True), ("c", 0): (("a", 1), True)}
