@@ -53,9 +53,9 @@ class ByteCNN:
         return out.reshape(-1, BLOCK // 2, FILTERS)
 
     def _maxima(self, padded: np.ndarray) -> np.ndarray:
-        """Maxima by block and filter."""
+        """Maxima by block and filter. Each step sees the block after it too, so that its last filters meet the text and no zeros."""
         step = 512 * BLOCK
-        return np.concatenate([self._responses(padded[lo : lo + step]).max(axis=1) for lo in range(0, len(padded), step)])
+        return np.concatenate([self._responses(padded[lo : lo + step + BLOCK])[: step // BLOCK].max(axis=1) for lo in range(0, len(padded), step)])
 
     @staticmethod
     def _chunks(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -2,8 +2,10 @@
 
 import math
 
+import numpy as np
+
 import corpus_pipeline
-from flowloom.llm import minhash_dedup, quote_chat
+from flowloom.llm import minhash_dedup, quality_cnn, quote_chat
 
 
 def similar(other: int) -> list[str]:
@@ -54,3 +56,9 @@ def test_the_original_lies_in_the_second_conversation(spark):
     turn = {r["row"]: (r["conv"], r["turn"]) for r in parsed.collect()}
     got = {turn[r["row"]]: (turn[r["parent"]], r["outside"]) for r in quote_chat.link_replies(parsed).collect()}
     assert got == {("a", 0): (("b", 0), True), ("c", 0): (("a", 1), True)}
+
+
+def test_filters_see_the_text_after_a_step():
+    m, rng = quality_cnn.ByteCNN(), np.random.default_rng(4)
+    padded = rng.integers(1, 256, 3 * 512 * quality_cnn.BLOCK + 5 * quality_cnn.BLOCK).astype(np.uint8)
+    assert np.allclose(m._maxima(padded), m._responses(padded).max(axis=1), atol=1e-4)
