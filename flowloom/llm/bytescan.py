@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,9 +11,12 @@ import pyarrow.compute as pc
 
 #: Bytes that are looked at together; a single word longer than that makes its segment longer.
 SEGMENT = 1 << 20
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_powers: dict[str, np.ndarray] = {}
+#: Odd multiplier for combining hashes that are mixed already.
+BASE = np.uint64(0x9E3779B97F4A7C15)
+#: Spans of up to LONG bytes are hashed in lanes of 8 bytes, longer ones one by one.
+LONG = 256
+_LANES = np.random.default_rng(20250611).integers(0, 1 << 63, LONG // 8 + 1, np.uint64) * np.uint64(2) + np.uint64(1)
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -66,22 +70,62 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def _power(kind: str, base: np.uint64, n: int) -> np.ndarray:
-    """base ** 0 ... base ** (n - 1), modulo 2 ** 64."""
-    if kind not in _powers or len(_powers[kind]) < n:
-        p = np.full(max(n, SEGMENT + 1), base, np.uint64)
-        p[0] = 1
-        with np.errstate(over="ignore"):
-            _powers[kind] = np.multiply.accumulate(p)
-    return _powers[kind][:n]
+def _loads(b: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each place on as one number; zeros follow the end."""
+    padded = np.concatenate((b, np.zeros(8, np.uint8)))
+    return np.ndarray(len(b) + 1, "<u8", padded, strides=(1,))
+
+
+def _lanes(size: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(lane, spans that reach into it, mask of their bytes in it) for spans of up to LONG bytes."""
+    live = np.flatnonzero((size > 0) & (size <= LONG))
+    lane = 0
+    while len(live):
+        yield lane, live, _MASKS[np.minimum(size[live] - 8 * lane, 8)]
+        lane += 1
+        live = live[size[live] > 8 * lane]
 
 
 def span_hashes(b: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the bytes of each span of a segment; equal bytes hash equally wherever they stand."""
-    with np.errstate(over="ignore"):
-        run = np.zeros(len(b) + 1, np.uint64)
-        np.cumsum((b.astype(np.uint64) + np.uint64(1)) * _power("up", _BASE, len(b)), out=run[1:])
-        return mix((run[ends] - run[starts]) * _power("down", _INVERSE, len(b) + 1)[starts] + (ends - starts).astype(np.uint64))
+    """A 64-bit hash of the bytes of each span; equal bytes hash equally wherever they stand.
+
+    Every lane of 8 bytes goes through a mixing that is not linear, so texts with a regular structure don't collide by it.
+    Other texts may, once in 2^64: whoever acts on equal hashes of different origin compares the bytes as well."""
+    size = ends - starts
+    h, eight = mix(size.astype(np.uint64) * BASE + np.uint64(1)), _loads(b)
+    for lane, live, mask in _lanes(size):
+        h[live] = mix(h[live] ^ (eight[starts[live] + 8 * lane] & mask) ^ _LANES[lane]) * BASE
+    for k in np.flatnonzero(size > LONG):
+        h[k] = int.from_bytes(hashlib.blake2b(b[starts[k] : ends[k]].tobytes(), digest_size=8).digest(), "little")
+    return h
+
+
+def same_spans(b: np.ndarray, starts: np.ndarray, ends: np.ndarray, c: np.ndarray, from_: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """Whether the bytes of each span of b equal those of the span of c at the same place of the list."""
+    size = ends - starts
+    same = size == to - from_
+    one, two = _loads(b), _loads(c)
+    for lane, live, mask in _lanes(np.where(same, size, 0)):
+        same[live] &= ((one[starts[live] + 8 * lane] ^ two[from_[live] + 8 * lane]) & mask) == 0
+    for k in np.flatnonzero(same & (size > LONG)):
+        same[k] = np.array_equal(b[starts[k] : ends[k]], c[from_[k] : to[k]])
+    return same
+
+
+def kinds(b: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash and first span of each distinct text among the spans, and each span's kind. Kinds are told apart by their bytes; two may have one hash."""
+    hashes, first, which = np.unique(span_hashes(b, starts, ends), return_index=True, return_inverse=True)
+    odd = np.flatnonzero(~same_spans(b, starts, ends, b, starts[first[which]], ends[first[which]]))
+    if len(odd):
+        other: dict[bytes, int] = {}
+        own = hashes[which[odd]]
+        for k in odd.tolist():
+            place = other.setdefault(b[starts[k] : ends[k]].tobytes(), len(first))
+            if place == len(first):
+                first = np.append(first, k)
+            which[k] = place
+        hashes = np.concatenate((hashes, own[np.searchsorted(odd, first[len(hashes) :])]))
+    return hashes, first, which
 
 
 def word_spans(b: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

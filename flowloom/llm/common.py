@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow.fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +26,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = f"file://{tempfile.mkdtemp(prefix='flowloom-')}"
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -58,6 +63,32 @@ def drop(df: DataFrame) -> None:
     remove(df.sparkSession, df._flowloom_path.rpartition("/")[0])
 
 
+@contextlib.contextmanager
+def settings(spark: SparkSession, options: dict[str, object]) -> Iterator[None]:
+    """Session options for the actions inside the block; what was set before holds again afterwards."""
+    was = {k: spark.conf.get(k) for k in options}
+    try:
+        for k, v in options.items():
+            spark.conf.set(k, str(v))
+        yield
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+
+
+def put_file(folder: str, name: str, data: bytes) -> None:
+    """Write a file of the shared folder whole or not at all; a repeated task writes the same bytes."""
+    fs, root = pafs.FileSystem.from_uri(folder)
+    fs.create_dir(root, recursive=True)
+    part = f"{root}/.{name}.{TaskContext.get().taskAttemptId()}"
+    with fs.open_output_stream(part) as out:
+        out.write(data)
+    if fs.get_file_info(f"{root}/{name}").type == pafs.FileType.NotFound:
+        fs.move(part, f"{root}/{name}")
+    else:
+        fs.delete_file(part)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names that df doesn't have, compared without case as Spark does."""
     taken, out = {c.lower() for c in df.columns}, []
@@ -84,8 +115,11 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> SparkSession:
-    """Arrow batches of fewer rows than Spark's default, for whole texts; a value set by the user stays."""
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+def small_batches(spark: SparkSession, most: str = "4MB") -> SparkSession:
+    """For the whole session, Arrow batches of at most `most` bytes of texts instead of 64 MB; a value set by the user stays.
+
+    The registered queries call this, because their rows are made after they return; the operators leave the session alone."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) == "67108864b":
+        spark.conf.set(key, most)
     return spark

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowloom.llm.common import fresh, small_batches
+from flowloom.llm.common import fresh
 
 
 def fold(id: Column, folds: int) -> Column:
@@ -56,7 +56,7 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 def score_texts(docs: DataFrame, model, text: str, carry: list[str], name: str = "score") -> tuple[DataFrame, str]:
     """The carried columns and the model's score of each whole text. model.score(Arrow texts) -> array; its size is fixed."""
-    spark = small_batches(docs.sparkSession)
+    spark = docs.sparkSession
     (name,) = fresh(docs, name)
     shared = spark.sparkContext.broadcast(model)
     rows = docs.select(F.struct(F.lit(0).alias("_"), *(docs[c].alias(f"c{i}") for i, c in enumerate(carry))).alias("own"), docs[text].alias("text"))

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowloom.llm import bytescan
-from flowloom.llm.common import fresh, small_batches, store
+from flowloom.llm.common import fresh, store
 from flowloom.llm.components import connected_components
 
 WIDTH, HASHES, BANDS, PERCENT = 5, 128, 32, 85
@@ -52,7 +52,7 @@ def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if len(w) >= WIDTH:
             run = np.zeros(len(w) - WIDTH + 1, np.uint64)
             for k in range(WIDTH):
-                run = run * bytescan._BASE + w[k : k + len(run)]
+                run = run * bytescan.BASE + w[k : k + len(run)]
             doc = np.repeat(np.arange(len(count)), size)
             long = count[doc] >= WIDTH
             place = at[:-1][doc] + np.arange(len(out)) - out_at[:-1][doc]
@@ -61,7 +61,7 @@ def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
             few = np.flatnonzero(count == n)
             value = np.full(len(few), n, np.uint64)
             for k in range(n):
-                value = value * bytescan._BASE + w[at[few] + k]
+                value = value * bytescan.BASE + w[at[few] + k]
             out[out_at[few]] = bytescan.mix(value ^ np.uint64(0xA5A5A5A5))
     for i in np.flatnonzero(size > 1):
         out[out_at[i] : out_at[i + 1]].sort()
@@ -110,7 +110,7 @@ def _sketch(text: int):
                         short[full] = sig.astype(np.uint16).view(np.int16)
                         value = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), (len(sig), BANDS))
                         for k in range(_ROWS):
-                            value = value * bytescan._BASE + sig[:, k::_ROWS]
+                            value = value * bytescan.BASE + sig[:, k::_ROWS]
                         bands[full] = bytescan.mix(value)
                 lists = lambda x, kind: pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(np.where(full, x.shape[1], 0)))), pa.int32()), pa.array(x[full].ravel(), kind))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(n.astype(np.int64)), pa.array(keys[0].view(np.int64)), pa.array(keys[1].view(np.int64)), lists(bands.view(np.int64), pa.int64()), lists(short, pa.int16())], names=[*part.schema.names, "n", "k1", "k2", "bands", "sig"])
@@ -191,7 +191,6 @@ def near_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", carry:
 
     Texts whose sets are similar by percent / 100 or more are linked."""
     carry = docs.columns if carry is None else carry
-    small_batches(docs.sparkSession)
     (name,) = fresh(docs, "near")
     own = F.struct(F.lit(0).alias("_"), *(docs[c].alias(f"c{i}") for i, c in enumerate(carry) if c != text))
     rows = docs.select(own.alias("own"), docs[id].alias("id"), F.monotonically_increasing_id().alias("row"), docs[text].alias("text"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowloom.llm import fitting, minhash_dedup, piece_lattice, quality_cnn, queries_native, quote_chat, sharding, token_wavelet, toxicity_gru
-from flowloom.llm.common import table
+from flowloom.llm.common import small_batches, table
 
 
 def tokenizer_file(name: str) -> str:
@@ -58,5 +58,12 @@ def op10_quote_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quote_chat.chats(table(spark, sf_dir, "conversations"))
 
 
-QUERIES = queries_native.QUERIES | {f.__name__: f for f in (op1_quality_cnn, op2_token_wavelet, op3_piece_lattice, op4_toxicity_gru, op6_minhash_dedup, op8_sharding, op10_quote_chat)}
+def _bounded(query):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return query(small_batches(spark), sf_dir)
+
+    return run
+
+
+QUERIES = queries_native.QUERIES | {f.__name__: _bounded(f) for f in (op1_quality_cnn, op2_token_wavelet, op3_piece_lattice, op4_toxicity_gru, op6_minhash_dedup, op8_sharding, op10_quote_chat)}
 ORACLES = queries_native.ORACLES

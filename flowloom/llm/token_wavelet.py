@@ -24,14 +24,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pafs
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from flowloom.llm import bytescan
-from flowloom.llm.common import scratch, small_batches, store
+from flowloom.llm.common import put_file, scratch, store
 
 MAGIC, END, SHARD_TOKENS, CACHE_PIECES = b"FLWM0001", 0, 1 << 21, 2_000_000
 
@@ -162,6 +161,7 @@ class PieceEncoder:
     def _clear(self) -> None:
         self.known, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int32)  # hashes in order, and their places
         self.begin, self.flat = np.zeros(1, np.int64), np.zeros(0, np.uint32)
+        self.spelt, self.text = np.zeros(1, np.int64), np.zeros(0, np.uint8)  # the pieces' own bytes, compared at every hit
 
     @staticmethod
     def _starts(b: np.ndarray, cuts: np.ndarray) -> np.ndarray:
@@ -179,19 +179,32 @@ class PieceEncoder:
         """Tokens of a segment, its pieces' starts and their numbers of tokens."""
         starts = self._starts(b, cuts)
         ends = np.concatenate((starts[1:], [len(b)]))
-        kinds, first, which = np.unique(bytescan.span_hashes(b, starts, ends), return_index=True, return_inverse=True)
-        if len(self.known) + len(kinds) > CACHE_PIECES:
+        kinds, first, which = bytescan.kinds(b, starts, ends)
+        if len(self.begin) + len(kinds) > CACHE_PIECES:
             self._clear()
+        s, e = starts[first], ends[first]
         at = np.searchsorted(self.known, kinds)
-        new = np.flatnonzero(self.known[np.minimum(at, len(self.known) - 1)] != kinds) if len(self.known) else np.arange(len(kinds))
+        slot, taken = np.full(len(kinds), -1, np.int64), np.zeros(len(kinds), bool)
+        if len(self.known):
+            place = np.minimum(at, len(self.known) - 1)
+            taken = self.known[place] == kinds
+            met = np.flatnonzero(taken)
+            own = self.slots[place[met]]
+            same = bytescan.same_spans(b, s[met], e[met], self.text, self.spelt[own], self.spelt[own + 1])
+            slot[met[same]] = own[same]
+        new = np.flatnonzero(slot < 0)
         if len(new):
-            raw = b.tobytes()
-            coded = [x.ids for x in self.tokenizer.encode_batch([raw[i:j].decode() for i, j in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)], add_special_tokens=False)]
-            places = np.arange(len(self.begin) - 1, len(self.begin) - 1 + len(new), dtype=np.int32)
-            self.known, self.slots = np.insert(self.known, at[new], kinds[new]), np.insert(self.slots, at[new], places)
+            raw = [b[i:j].tobytes() for i, j in zip(s[new].tolist(), e[new].tolist(), strict=True)]
+            coded = [x.ids for x in self.tokenizer.encode_batch([x.decode() for x in raw], add_special_tokens=False)]
+            slot[new] = np.arange(len(self.begin) - 1, len(self.begin) - 1 + len(new))
             self.begin = np.concatenate((self.begin, self.begin[-1] + np.cumsum([len(x) for x in coded])))
             self.flat = np.concatenate((self.flat, np.fromiter(itertools.chain.from_iterable(coded), np.uint32)))
-        slot = self.slots[np.searchsorted(self.known, kinds)][which]
+            self.spelt = np.concatenate((self.spelt, self.spelt[-1] + np.cumsum([len(x) for x in raw])))
+            self.text = np.concatenate((self.text, np.frombuffer(b"".join(raw), np.uint8)))
+            free = new[~taken[new]]  # of pieces with one hash the cache finds the first alone
+            free = free[np.unique(kinds[free], return_index=True)[1]]
+            self.known, self.slots = np.insert(self.known, at[free], kinds[free]), np.insert(self.slots, at[free], slot[free].astype(np.int32))
+        slot = slot[which]
         size = self.begin[slot + 1] - self.begin[slot]
         upto = np.cumsum(size)
         return self.flat[np.arange(upto[-1]) + np.repeat(self.begin[slot] - upto + size, size)], starts, size
@@ -230,19 +243,6 @@ def encoder(path: str) -> PieceEncoder:
     return _encoders[path]
 
 
-def _put(folder: str, name: str, data: bytes) -> None:
-    """Write a file whole or not at all; a repeated task writes the same bytes."""
-    fs, root = pafs.FileSystem.from_uri(folder)
-    fs.create_dir(root, recursive=True)
-    part = f"{root}/.{name}.{TaskContext.get().taskAttemptId()}"
-    with fs.open_output_stream(part) as out:
-        out.write(data)
-    if fs.get_file_info(f"{root}/{name}").type == pafs.FileType.NotFound:
-        fs.move(part, f"{root}/{name}")
-    else:
-        fs.delete_file(part)
-
-
 def _writer(folder: str, tokenizer: str, shard_tokens: int):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, part = encoder(tokenizer), TaskContext.get().partitionId()
@@ -252,7 +252,7 @@ def _writer(folder: str, tokenizer: str, shard_tokens: int):
             nonlocal held, seq
             name = f"{part:06d}-{seq:06d}.wm"
             data = [np.concatenate(x) for x in (ids, valid, counts, tokens)]
-            _put(folder, name, pack(*data, code.bits))
+            put_file(folder, name, pack(*data, code.bits))
             for x in (ids, valid, counts, tokens):
                 x.clear()
             out = pa.RecordBatch.from_pydict({"file": [name], "part": [part], "seq": [seq], "docs": [len(data[0])], "tokens": [held]})
@@ -279,7 +279,7 @@ def _writer(folder: str, tokenizer: str, shard_tokens: int):
 
 def write_shards(docs: DataFrame, folder: str, tokenizer: str, id: str = "doc_id", text: str = "text", shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """Write docs' tokens to folder in ascending order of a whole-number id; returns the manifest (file, part, seq, docs, tokens)."""
-    spark = small_batches(docs.sparkSession)
+    spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(docs[id].cast("long").alias("id"), docs[text].alias("text")).withColumn("tie", F.xxhash64("text"))
     placed = rows.repartitionByRange(parts, "id", "tie").sortWithinPartitions("id", "tie").select("id", "text")

@@ -1,5 +1,6 @@
 """Operators over bulk bytes against the libraries and against brute force."""
 
+import functools
 import re
 import zlib
 
@@ -12,6 +13,16 @@ from flowloom.llm import bytescan, minhash_dedup, piece_lattice, token_wavelet
 from flowloom.llm.queries import op2_token_wavelet, op3_piece_lattice, op6_minhash_dedup, tokenizer_file
 
 ODD = ["", None, " ", "\n\n", "a", "a  b\t c\n\n d  ", "é  x", "　 y  z", "日本語のテキスト です", "▁▁ under ▁x", "<|endoftext|> a <s> b", "x" * 300, "=" * 200 + " tail", "word " * 400, "ab\r\nc\x1c d", "🙂🙂 ok", "Ünïcode, don't 'll 123 4567"]
+def thue_morse(n):
+    word = "a"
+    while len(word) < n:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word
+
+
+# words of which a hash that is linear modulo 2^64 can't tell one from its complement
+TWINS = [x for n in (1024, 2048) for t in (thue_morse(n),) for x in (t, t.translate(str.maketrans("ab", "ba")))]
+ODD += [*TWINS, *(f"{t} one two three four" for t in TWINS), "tok" * 4000, "=" * 9000]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
@@ -108,14 +119,15 @@ def test_piece_query(spark, tmp_path):
 def test_viterbi_against_brute_force(spark):
     pieces = piece_lattice.Pieces(tokenizer_file("piece_bpe_32k.model"))
     pieces.normal = [("a", 10, -2.0), ("b", 11, -2.5), ("ab", 12, -3.0), ("ba", 13, -4.2), ("aba", 14, -5.5), ("bb", 15, -4.0)]
-    pieces.longest = 3
+    pieces.longest, pieces.unigram = 3, True
     score = {p: (s, i) for p, i, s in pieces.normal}
 
+    @functools.cache
     def best(w):
         return min(((0.0, ()),) if not w else ((-score[w[:k]][0] + c, (score[w[:k]][1], *r)) for k in range(1, min(3, len(w)) + 1) if w[:k] in score for c, r in [best(w[k:])]))
 
-    sample = ["a", "ab", "aba", "abba", "bbaab", "abababba"]
-    coded = piece_lattice.encode_words(spark.createDataFrame([(w,) for w in sample], "word string"), pieces, unigram=True).collect()
+    sample = ["a", "ab", "aba", "abba", "bbaab", "abababba", "abba" * 30]
+    coded = piece_lattice.encode_words(spark.createDataFrame([(w,) for w in sample], "word string"), pieces).collect()
     for r in coded:
         assert sum(-s for p, i, s in pieces.normal for x in r["ids"] if x == i) == pytest.approx(best(r["word"])[0])
     assert len(coded) == len(sample)
@@ -177,3 +189,23 @@ def test_near_filter_keeps_columns_and_repeated_rows(spark):
     assert kept.columns == docs.columns
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "3", "None"]
     assert minhash_dedup.drop_near_copies(docs.limit(0)).count() == 0
+
+
+def test_kinds_differ_by_bytes(monkeypatch):
+    monkeypatch.setattr(bytescan, "span_hashes", lambda b, s, e: (e - s).astype(np.uint64) % 3)
+    texts = ODD[:20] + ["one two one six six two ten"]
+    code = token_wavelet.PieceEncoder(tokenizer_file("byte_bpe_50k.json"))
+    for _ in range(2):  # the second time from the cache
+        found, n = code.encode(pa.array(texts))
+        assert found.tolist() == [t for x in expected_ids(texts) for t in x[:-1]]
+    words = pa.array(["ab", "ba", "abc", "cba"])
+    known = piece_lattice.Dictionary(words, pa.array([[1], [2], [3], [4]], pa.list_(pa.int32())))
+    b = np.frombuffer(b"abbaabccba", np.uint8)
+    s, e = np.array([0, 2, 4, 7]), np.array([2, 4, 7, 10])
+    at = known.find(bytescan.span_hashes(b, s, e), b, s, e)
+    assert at.tolist() == [1, -1, 0, -1] and known.flat[known.first[at[:1]]].tolist() == [1]
+
+
+def test_linear_collisions_are_none():
+    hashes = {int(bytescan.span_hashes(np.frombuffer(t.encode(), np.uint8), np.array([0]), np.array([len(t)]))[0]) for t in [*TWINS, *(t[:256] for t in TWINS[:2])]}
+    assert len(hashes) == len(TWINS) + 2
