@@ -1,6 +1,7 @@
 """Mixing sources to target weights by nested hash thresholds.
 
-Every document has a 60-bit hash of its id. A source whose target is t of its s words gives all documents t div s times,
+Every document has a 60-bit hash of its id and text, and of its running number among rows of its source with equal id and
+text, if there are such. A source whose target is t of its s words gives all documents t div s times,
 and the remainder comes from the documents whose hash lies under a threshold. The threshold is found without sorting: sum
 words by source and the hash's ten leading bits, find the bucket in which the running sum passes the budget, then sum only
 that bucket by the next ten bits, and so on for four levels (40 bits: a boundary bucket of 10^11 documents holds none or
@@ -10,8 +11,8 @@ Targets: sources in code-point order, null last, have weights 1, 2, 3, repeating
 none exceeds `most` times its source's words, and the excess goes to the others by weight until none is above.
 
 Edge cases: null text has size 0; a null source is a source of its own, after all others; documents of size 0 are taken
-0 words; a source without words has target 0 and its documents are left out; rows with equal id get the same decision;
-an empty table gives an empty table; further columns pass through.
+0 words; a source without words has target 0 and its documents are left out; rows equal in source, id and text are decided
+one by one, so a source of nothing but copies meets its target too (docs are then written once more); an empty table gives an empty table; further columns pass through.
 """
 
 from __future__ import annotations
@@ -24,8 +25,32 @@ from flowloom.llm.common import fresh, store, words
 BITS, LEVELS, HASH_BITS, MOST = 10, 4, 60, 3
 
 
-def id_hash(id: Column) -> Column:
-    return F.conv(F.substring(F.md5(F.coalesce(id.cast("string"), F.lit("")).cast("binary")), 1, HASH_BITS // 4), 16, 10).cast("long")
+def _sixty(text: Column) -> Column:
+    """60 bits of the MD5 of a text."""
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, HASH_BITS // 4), 16, 10).cast("long")
+
+
+def row_hash(id: Column, text: Column) -> Column:
+    """60 bits of an id and a text; a null id differs from every other."""
+    own = id.cast("string")
+    return _sixty(F.concat(F.when(own.isNull(), F.lit("0")).otherwise(F.concat(F.lit("1"), own)), F.lit("/"), F.coalesce(text, F.lit(""))))
+
+
+def _numbered(rows: DataFrame, twice: DataFrame, m: str) -> DataFrame:
+    """rows with the hash of their running number in it, where their key and hash occur twice or more.
+
+    rows: key, {m} (a struct with the hash), row (increasing within a partition, whose number is in the upper bits)."""
+    (n, own, before) = fresh(rows, "n", "own_place", "before")
+    marked = rows.join(twice.toDF(f"{m}_k", f"{m}_h", n), (F.col("key") == F.col(f"{m}_k")) & (F.col(m)["hash"] == F.col(f"{m}_h")), "left").drop(f"{m}_k", f"{m}_h")
+    again = marked.where(F.col(n).isNotNull()).withColumn("pid", F.shiftright("row", 33)).withColumn(f"{m}_h", F.col(m)["hash"])
+    counts = again.groupBy("key", f"{m}_h", "pid").agg(F.count("*").alias(own))  # a row a key, hash and partition
+    base = F.coalesce(F.sum(own).over(Window.partitionBy("key", f"{m}_h").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bases = counts.select("key", f"{m}_h", "pid", base.alias(before))
+    place = F.row_number().over(Window.partitionBy("key", f"{m}_h", "pid").orderBy("row")) - 1
+    placed = again.withColumn(own, place).join(bases, ["key", f"{m}_h", "pid"]).withColumn(own, F.col(own) + F.col(before))
+    hashed = F.when(F.col(own) == 0, F.col(m)["hash"]).otherwise(_sixty(F.concat_ws(":", F.col(m)["hash"], F.col(own))))
+    renewed = placed.withColumn(m, F.col(m).withField("hash", hashed)).select(*rows.columns)
+    return marked.where(F.col(n).isNull()).select(*rows.columns).union(renewed)
 
 
 def targets(sources: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = MOST) -> DataFrame:
@@ -83,19 +108,22 @@ def plan(light: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = MOS
 def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", carry: list[str] | None = None, weights: tuple[int, ...] = (1, 2, 3), most: int = MOST) -> tuple[DataFrame, str]:
     """docs' columns (or those of carry) and a struct (size, source_size, target, copies, taken); returns it and the struct's name."""
     carry = docs.columns if carry is None else carry
-    (mixed, key) = fresh(docs, "mixed", "source_key")
-    size = F.size(words(docs[text])).cast("long")
-    light = store(docs.select(_key(docs[source]).alias("key"), docs[source].alias("source"), size.alias("size"), id_hash(docs[id]).alias("hash"), *([] if text in carry else [F.struct(*(docs[c] for c in carry)).alias("own")])), "sizes")
-    cuts = plan(light.select("key", "source", "size", "hash"), weights, most)
-    if text in carry:
-        rows = docs.select(*(docs[c] for c in carry), F.struct(size.alias("size"), id_hash(docs[id]).alias("hash")).alias(mixed), _key(docs[source]).alias(key))
-    else:
-        rows = light.select("own.*", F.struct("size", "hash").alias(mixed), F.col("key").alias(key))
-    cuts = cuts.select(F.col("key").alias(key), F.struct("source_size", "target", "full", "cut").alias(f"{mixed}_cut"))
-    joined, m, c = rows.join(cuts, key, "left"), F.col(mixed), F.col(f"{mixed}_cut")
+    (mixed,) = fresh(docs, "mixed")
+    # the carried columns travel in a struct, so they clash with nothing
+    own = F.struct(F.lit(0).alias("_"), *(docs[c].alias(f"c{i}") for i, c in enumerate(carry))).alias("own")
+    m = F.struct(F.size(words(docs[text])).cast("long").alias("size"), row_hash(docs[id], docs[text]).alias("hash")).alias("m")
+    whole = docs.select(_key(docs[source]).alias("key"), docs[source].alias("source"), m, F.monotonically_increasing_id().alias("row"), own)
+    light = store(whole.drop("own") if text in carry else whole, "sizes")
+    twice = store(light.groupBy("key", F.col("m.hash").alias("hash")).agg(F.count("*").alias("n")).where("n > 1"), "twice")
+    rows = whole if text in carry else light
+    if not twice.isEmpty():
+        rows = light = store(_numbered(store(whole, "whole") if text in carry else light, twice, "m"), "numbered")
+    cuts = plan(light.select("key", "source", "m.size", "m.hash"), weights, most)
+    cuts = cuts.select("key", F.struct("source_size", "target", "full", "cut").alias("c"))
+    joined, m, c = rows.join(cuts, "key", "left"), F.col("m"), F.col("c")
     copies = c["full"] + (F.shiftright(m["hash"], HASH_BITS - BITS * LEVELS) < c["cut"]).cast("long")
     out = F.struct(m["size"].alias("size"), c["source_size"].alias("source_size"), c["target"].alias("target"), copies.alias("copies"), (m["size"] * copies).alias("taken"))
-    return joined.select(*(F.col(f"`{x}`") for x in carry), out.alias(mixed)), mixed
+    return joined.select(*(F.col("own")[f"c{i}"].alias(x) for i, x in enumerate(carry)), out.alias(mixed)), mixed
 
 
 def mixture(docs: DataFrame, **options) -> DataFrame:

@@ -2,10 +2,18 @@
 
 Each document gets counts (words, symbols, repeated lines, repeated windows of words ...). For every (lang, source)
 the values of each rule go to a log-linear histogram: a quantile sketch with a relative error of 1/16, whose merge is
-addition, so partial sketches combine in any order and re-runs agree. Upper fences Q3 + 3 * max(Q3 - Q1, least spread)
-are read from the sketches; pairs with few documents use their language's sketch (the sum over its sources), languages
-with few documents the sum of all. A source's fence is at most twice its language's, so a source of nothing but junk
-doesn't set its own law. Documents then join their pair's fences and are filtered.
+addition, so partial sketches combine in any order and re-runs agree. Every fence is read from such a sketch; no rule has
+a cutoff of its own:
+
+- Where the median is above 0, the trait is common: the fence lies three times the distance from the median to the 90th
+  percentile (at least one bucket, the sketch's own error) above the latter. Distances are in buckets, so they are ratios.
+- Where the median is 0, the trait is rare: the tail of the sketch counts as clean as far as it goes on without a break, and
+  a break is a stretch of more than 32 empty buckets (two octaves). The fence lies in the middle of the first break, or at
+  the sketch's end if there is none.
+
+Pairs with few documents use their language's sketch (the sum over its sources), languages with few documents the sum of
+all. A source's fence is at most 16 buckets (one octave) above its language's, so a source of nothing but junk doesn't set
+its own law. Documents then join their pair's fences and are filtered.
 
 Edge cases: null text counts as empty and fails the base rule; null lang or source count as ''; repeated rows and tied
 values are judged alike; an empty table gives an empty table; further input columns pass through untouched.
@@ -18,9 +26,10 @@ from pyspark.sql import functions as F
 
 from flowloom.llm.common import BLANK_CHARS, fresh, let, store, words
 
-#: Rule: least spread that counts, in the rule's units.
-RULES = {"symbol_rate": 100, "upper_rate": 100, "shout_rate": 100, "dup_line_rate": 200, "repeat_rate": 60, "word_length": 1000}
-MIN_WORDS, MAX_REPEAT_PERCENT, MIN_DOCS = 10, 20, 50
+RULES = ("symbol_rate", "upper_rate", "shout_rate", "dup_line_rate", "repeat_rate", "word_length")
+MIN_WORDS, MAX_REPEAT_PERCENT, MIN_DOCS = 10, 20, 200
+#: Of every rule alike, in buckets of the sketch: empty ones that break a tail, multiples of the distance to the 90th percentile, and how far a source may go beyond its language.
+BREAK, REACH, BEYOND = 32, 3, 16
 
 
 def _covered(hashes: Column) -> Column:
@@ -81,12 +90,14 @@ def _top(b: Column) -> Column:
 
 
 def _fences(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """Documents and fence by keys and rule, from counts by bucket. A window holds one key's buckets, at most about 1,000."""
+    """Documents and fence (a bucket) by keys and rule, from counts by bucket. A window holds one key's buckets, at most about 1,000."""
     w = Window.partitionBy(*keys, "rule")
-    ranked = sketch.withColumns({"upto": F.sum("n").over(w.orderBy("bucket")), "total": F.sum("n").over(w)})
-    q = ranked.groupBy(*keys, "rule").agg(F.max("total").alias("docs"), *(F.min(F.when(4 * F.col("upto") >= k * F.col("total"), F.col("bucket"))).alias(f"q{k}") for k in (1, 3)))
-    spread = F.create_map(*(x for k, v in RULES.items() for x in (F.lit(k), F.lit(v).cast("long"))))
-    return q.select(*keys, "rule", "docs", (_top(F.col("q3")) + 3 * F.greatest(_top(F.col("q3")) - _top(F.col("q1")), spread[F.col("rule")])).alias("fence"))
+    ranked = sketch.withColumns({"upto": F.sum("n").over(w.orderBy("bucket")), "total": F.sum("n").over(w), "after": F.lead("bucket").over(w.orderBy("bucket"))})
+    level = lambda tenths: F.min(F.when(10 * F.col("upto") >= tenths * F.col("total"), F.col("bucket")))
+    broken = F.min(F.when(F.col("after") - F.col("bucket") > BREAK, F.floor((F.col("bucket") + F.col("after")) / 2)))
+    q = ranked.groupBy(*keys, "rule").agg(F.max("total").alias("docs"), level(5).alias("q50"), level(9).alias("q90"), broken.alias("broken"), F.max("bucket").alias("end"))
+    common = F.col("q90") + REACH * F.greatest(F.col("q90") - F.col("q50"), F.lit(1))
+    return q.select(*keys, "rule", "docs", F.when(F.col("q50") > 0, common).otherwise(F.coalesce("broken", "end")).alias("fence"))
 
 
 def thresholds(sketch: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
@@ -97,7 +108,7 @@ def thresholds(sketch: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     every = merge([]).select("rule", F.col("fence").alias("all_fence"))
     own = F.when(F.col("lang_docs") < min_docs, F.col("all_fence")).otherwise(F.col("lang_fence"))
     joined = pair.join(lang, ["lang", "rule"]).join(F.broadcast(every), "rule").withColumn("own", own)  # every: one row a rule
-    fence = F.when(F.col("docs") < min_docs, F.col("own")).otherwise(F.least(F.col("fence"), 2 * F.col("own")))
+    fence = _top(F.when(F.col("docs") < min_docs, F.col("own")).otherwise(F.least(F.col("fence"), F.col("own") + BEYOND)))
     return joined.groupBy("lang", "source").agg(*(F.max(F.when(F.col("rule") == k, fence)).alias(k) for k in RULES))
 
 

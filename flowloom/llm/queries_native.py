@@ -31,8 +31,10 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 def mixing_cte(documents: str, p: str = "") -> str:
     """Common table expressions ending in {p}mixed(doc_id, size, source_size, target, copies, taken, text, lang, source, n_chars)."""
     return f"""
-{p}sized AS (SELECT *, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::BIGINT AS size,
-    ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT >> 20 AS h FROM {documents}),
+{p}hashed AS (SELECT *, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::BIGINT AS size,
+    ('0x' || substr(md5(CASE WHEN doc_id IS NULL THEN '0' ELSE '1' || doc_id::VARCHAR END || '/' || coalesce(text, '')), 1, 15))::BIGINT AS h0 FROM {documents}),
+{p}sized AS (SELECT *, (CASE WHEN r = 0 THEN h0 ELSE ('0x' || substr(md5(h0::VARCHAR || ':' || r::VARCHAR), 1, 15))::BIGINT END) >> 20 AS h
+    FROM (SELECT *, row_number() OVER (PARTITION BY source, h0) - 1 AS r FROM {p}hashed)),
 {p}src AS (SELECT source, sum(size)::HUGEINT AS s FROM {p}sized GROUP BY source),
 {p}wt AS (SELECT *, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::HUGEINT AS w, 3 * s AS cap FROM {p}src),
 {p}run AS (SELECT *, sum(s) OVER () AS total,
@@ -59,15 +61,15 @@ def rules_cte(documents: str) -> str:
     chars = lambda c: f"(length(t) - length(translate(t, '{c}', '')))::BIGINT"
     rates = {"symbol_rate": "1000 * n_symbols // greatest(n_words, 1)", "upper_rate": "1000 * n_upper // greatest(word_chars, 1)", "shout_rate": "1000 * n_shouts // greatest(n_words, 1)", "dup_line_rate": "1000 * n_dup_lines // greatest(n_lines, 1)", "repeat_rate": "1000 * n_repeat_words // greatest(n_words, 1)", "word_length": "1000 * word_chars // greatest(n_words, 1)"}
     points = " UNION ALL ".join(f"SELECT l, s, '{k}' AS rule, {v} AS v FROM counted WHERE NOT base_failed" for k, v in rates.items())
-    spread = "CASE rule " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in quality_rules.RULES.items()) + " END"
     top = lambda b: f"((({b} - 16 * greatest({b} // 16 - 1, 0) + 1) << greatest({b} // 16 - 1, 0)) - 1)"
 
     def fences(name: str, keys: str) -> str:
         comma = f"{keys}, " if keys else ""
-        return f"""{name}_q AS (SELECT {comma}rule, max(total) AS docs, min(CASE WHEN 4 * upto >= total THEN bucket END) AS q1, min(CASE WHEN 4 * upto >= 3 * total THEN bucket END) AS q3
-    FROM (SELECT {comma}rule, bucket, sum(n) OVER (PARTITION BY {comma}rule ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY {comma}rule) AS total
+        return f"""{name}_q AS (SELECT {comma}rule, max(total) AS docs, min(CASE WHEN 10 * upto >= 5 * total THEN bucket END) AS q50, min(CASE WHEN 10 * upto >= 9 * total THEN bucket END) AS q90,
+        min(CASE WHEN after - bucket > 32 THEN (bucket + after) // 2 END) AS broken, max(bucket) AS tail
+    FROM (SELECT {comma}rule, bucket, sum(n) OVER (PARTITION BY {comma}rule ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY {comma}rule) AS total, lead(bucket) OVER (PARTITION BY {comma}rule ORDER BY bucket) AS after
         FROM (SELECT {comma}rule, bucket, sum(n) AS n FROM sketch GROUP BY {comma}rule, bucket)) GROUP BY {comma}rule),
-{name} AS (SELECT {comma}rule, docs, {top("q3")} + 3 * greatest({top("q3")} - {top("q1")}, {spread}) AS fence FROM {name}_q)"""
+{name} AS (SELECT {comma}rule, docs, CASE WHEN q50 > 0 THEN q90 + 3 * greatest(q90 - q50, 1) ELSE coalesce(broken, tail) END AS fence FROM {name}_q)"""
 
     passed = " AND ".join(f"{v} <= f.{k}" for k, v in rates.items())
     return rf"""
@@ -86,8 +88,8 @@ sketch AS (SELECT l, s, rule, 16 * greatest(length(bin(v)) - 5, 0) + (v >> great
 {fences("pairf", "l, s")},
 {fences("langf", "l")},
 {fences("allf", "")},
-chosen AS (SELECT p.l, p.s, rule, CASE WHEN p.docs < 50 THEN CASE WHEN g.docs < 50 THEN a.fence ELSE g.fence END
-    ELSE least(p.fence, 2 * CASE WHEN g.docs < 50 THEN a.fence ELSE g.fence END) END AS fence FROM pairf p JOIN langf g USING (l, rule) JOIN allf a USING (rule)),
+own AS (SELECT p.l, p.s, rule, p.docs, p.fence, CASE WHEN g.docs < 200 THEN a.fence ELSE g.fence END AS own FROM pairf p JOIN langf g USING (l, rule) JOIN allf a USING (rule)),
+chosen AS (SELECT l, s, rule, {top("(CASE WHEN docs < 200 THEN own ELSE least(fence, own + 16) END)")} AS fence FROM own),
 fence AS (SELECT l, s, {", ".join(f"max(CASE WHEN rule = '{k}' THEN fence END) AS {k}" for k in rates)} FROM chosen GROUP BY l, s),
 judged AS (SELECT c.*, CASE WHEN base_failed THEN false ELSE {passed} END AS kept FROM counted c LEFT JOIN fence f USING (l, s))"""
 

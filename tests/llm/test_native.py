@@ -37,6 +37,31 @@ def test_thresholds_follow_the_data(spark):
     assert sorted(r[0] for r in quality_rules.quality_filter(docs).select("doc_id").collect()) == list(range(200))
 
 
+def test_every_fence_follows_language_and_source(spark):
+    """On the corpus itself: fences of one rule differ between pairs, and a shift of one pair's values shifts its fence alone."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    m = docs.select(quality_rules.measures(F.col("text")).alias("m"), "lang", "source")
+    rates = F.array(*(F.struct(F.lit(k).alias("rule"), quality_rules._bucket(v).alias("bucket")) for k, v in quality_rules._rates(F.col("m")).items()))
+    sketch = m.where("m.n_words >= 10").select("lang", "source", F.explode(rates).alias("p")).groupBy("lang", "source", "p.rule", "p.bucket").agg(F.count("*").alias("n")).cache()
+    fences = quality_rules.thresholds(sketch, 50).toPandas()
+    assert len(fences) == 80 and all(fences[k].nunique() > 1 for k in quality_rules.RULES)
+    one = fences.iloc[0]
+    moved = sketch.withColumn("bucket", F.when((F.col("lang") == one["lang"]) & (F.col("source") == one["source"]) & (F.col("rule") == "word_length"), F.col("bucket") + 5).otherwise(F.col("bucket")))
+    again = quality_rules.thresholds(moved, 50).toPandas().merge(fences, on=["lang", "source"])
+    here = (again["lang"] == one["lang"]) & (again["source"] == one["source"])
+    assert (again.loc[here, "word_length_x"] > again.loc[here, "word_length_y"]).all()
+    assert (again.loc[again["lang"] != one["lang"], "word_length_x"] == again.loc[again["lang"] != one["lang"], "word_length_y"]).all()
+    sketch.unpersist()
+
+
+def test_thresholds_leave_clean_documents(spark):
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet").groupBy("doc_id").agg(F.max("quality").alias("q"))
+    kept = QUERIES["op7_quality_rules"](spark, sf).where("NOT base_failed").join(labels, "doc_id").groupBy("q").agg(F.avg(F.col("kept").cast("double")).alias("kept"))
+    share = {r["q"]: r["kept"] for r in kept.collect()}
+    assert share[1] > 0.985 and share[0] < 0.05
+
+
 def test_clashing_names_pass_through(spark):
     names = "doc_id long, text string, lang string, source string, verdict string, copies int, mixed string, place int, n_words int, size int, h string, key string, row int, n int"
     rows = [(1, LINE, "en", "a", "v", 1, "m", 2, 3, 4, "h", "k", 5, 6), (1, LINE, "en", "a", "v", 1, "m", 2, 3, 4, "h", "k", 5, 6), (2, None, None, None, None, None, None, None, None, None, None, None, None, None)]
@@ -67,6 +92,18 @@ def test_mix_meets_targets_and_nests(spark):
     assert mixing.mixture(docs).count() == sum(r["copies"] for r in rows)
 
 
+@pytest.mark.parametrize("text", ["w w w", None])
+def test_mix_of_repeated_and_null_ids(spark, tmp_path, text):
+    """Nine of ten rows of a source share their id, and with it their text or not."""
+    rows = [(None if i % 10 else i, text or f"w{i} w w", "en", "a" if i % 3 else "b", 0) for i in range(900)]
+    spark.createDataFrame(rows, SCHEMA).repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for carry in (["doc_id", "source"], ["doc_id", "source", "text"]):
+        got = mixing.mix(docs, carry=carry)[0].groupBy("source").agg(F.sum("mixed.taken").alias("taken"), F.max("mixed.target").alias("target"), F.count("*").alias("n")).collect()
+        assert sum(r["n"] for r in got) == 900 and all(abs(r["taken"] - r["target"]) <= 3 for r in got)
+    assert_same(QUERIES["op5_mixing"](spark, str(tmp_path)), ORACLES["op5_mixing"], {"documents": f"{tmp_path}/documents.parquet/*.parquet"})
+
+
 def slow_jump(key, shards):
     b, j = -1, 0
     while j < shards:
