@@ -22,17 +22,19 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, id: str, text: str, w
     """Texts and labels of at most `rows` labelled documents, those with the smallest hash of their id, without texts of more than most_bytes; the share of label 1 among all labels.
 
     With most_ones, up to so many have label 1, however rare it is. The ids are chosen among the labels alone, so no text is
-    shuffled; they are at most `rows` and go to every executor. An id with several labels has the larger."""
+    shuffled; they are at most `rows` and go to every executor. An id with several labels has the larger, one with several
+    texts the text of the smallest hash. The order is that of the ids' hashes, whatever files the input came in."""
     marks = labels.select(labels[id].alias("id"), labels[label].cast("double").alias("y")).where("y IS NOT NULL").where(where).groupBy("id").agg(F.max("y").alias("y"))
-    first = lambda m, n: m.orderBy(F.xxhash64("id")).limit(n)
+    first = lambda m, n: m.orderBy(F.xxhash64("id"), "id").limit(n)
     if most_ones is None:
         chosen = first(marks, rows)
     else:
         ones = first(marks.where("y = 1"), most_ones)
         chosen = ones.union(first(marks.where("y = 0"), rows - ones.count()))
-    own = docs.select(docs[id].alias("id"), docs[text].alias("text")).where(F.octet_length(F.coalesce("text", F.lit(""))) <= most_bytes)
-    found = own.join(F.broadcast(chosen), "id").select("text", "y").limit(rows).collect()  # bounded by rows and most_bytes
-    return [r["text"] or "" for r in found], np.array([r["y"] for r in found], np.float32), float(marks.agg(F.avg("y")).first()[0] or 0.5)
+    own = docs.select(docs[id].alias("id"), F.coalesce(docs[text], F.lit("")).alias("text")).where(F.octet_length("text") <= most_bytes)
+    one = own.join(F.broadcast(chosen), "id").groupBy("id").agg(F.max("y").alias("y"), F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    found = sorted(one.select(F.xxhash64("id").alias("h"), "id", "text", "y").collect(), key=lambda r: (r["h"], str(r["id"])))  # bounded by rows and most_bytes
+    return [r["text"] for r in found], np.array([r["y"] for r in found], np.float32), float(marks.agg(F.avg("y")).first()[0] or 0.5)
 
 
 class Adam:

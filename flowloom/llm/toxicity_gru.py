@@ -54,9 +54,8 @@ class WindowGRU:
                 continue
             of = lambda i, j: (bytescan.span_hashes(part, i, j) & np.uint64(BUCKETS - 1)).astype(np.int32)  # noqa: E731, B023
             buckets.append(np.stack([of(s, e), *(of(s, np.minimum(e, s + n)) if n > 0 else of(np.maximum(s, e + n), e) for n in AFFIXES)]))
-            run = np.zeros((len(part) + 1, CHARS), np.float32)
-            np.cumsum(self.p["chars"][part], axis=0, out=run[1:], dtype=np.float32)
-            chars.append((run[e] - run[s]) / (e - s)[:, None])
+            each = np.add.reduceat(self.p["chars"][np.append(part, np.uint8(0))], np.stack((s, e), axis=1).ravel(), axis=0)[::2]  # a token's own bytes alone
+            chars.append(each / (e - s)[:, None].astype(np.float32))
             places.append(s + lo)
             spans.append((s + lo, e + lo))
         if not places:
@@ -128,7 +127,7 @@ class WindowGRU:
         doc = np.repeat(np.arange(len(y), dtype=np.int32), np.diff(at))
         toxic, seen = (np.zeros((len(buckets), BUCKETS), np.float32) for _ in range(2))
         for k, own in enumerate(buckets):
-            once = np.unique(doc.astype(np.uint32) * np.uint32(BUCKETS) + own.astype(np.uint32))  # under 2^14 texts
+            once = np.unique(doc.astype(np.int64) * BUCKETS + own)
             seen[k] = np.bincount(once % BUCKETS, minlength=BUCKETS)
             toxic[k] = np.bincount(once % BUCKETS, y[once // BUCKETS], BUCKETS)
         self.odds = self._log_odds(toxic, seen)
