@@ -37,6 +37,8 @@ def scratch(spark: SparkSession, tag: str) -> str:
     """A new path in the shared folder, removed when the driver's Python ends."""
     path = f"{shared_dir(spark)}/flowloom-{uuid.uuid4().hex}/{tag}"
     atexit.register(remove, spark, path.rpartition("/")[0])
+    if _scopes:
+        _scopes[-1].append(path.rpartition("/")[0])
     return path
 
 
@@ -49,6 +51,37 @@ def remove(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+_scopes: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def stored_inside() -> Iterator[list[str]]:
+    """The folders of all tables that store() and scratch() make inside the block."""
+    _scopes.append([])
+    try:
+        yield _scopes[-1]
+    finally:
+        made = _scopes.pop()
+        if _scopes:
+            _scopes[-1].extend(made)
+
+
+@contextlib.contextmanager
+def temporary(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables stored inside the block are removed at its end, but for those given to the function that it yields."""
+    kept: set[str] = set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(df._flowloom_path.rpartition("/")[0])
+        return df
+
+    with stored_inside() as made:
+        yield keep
+        for path in [x for x in made if x not in kept]:
+            remove(spark, path)
+            made.remove(path)
+
+
 def store(df: DataFrame, tag: str) -> DataFrame:
     """Cut the lineage: write df as a table into the shared folder and read it again. Lost executors cost nothing that is written."""
     path = scratch(df.sparkSession, tag)
@@ -89,6 +122,18 @@ def put_file(folder: str, name: str, data: bytes) -> None:
         fs.delete_file(part)
 
 
+def reads(df: DataFrame) -> list[str]:
+    """The folders and files that df's plan reads."""
+    leaves, found = df._jdf.queryExecution().analyzed().collectLeaves().iterator(), []
+    while leaves.hasNext():
+        leaf = leaves.next()
+        if leaf.getClass().getSimpleName() == "LogicalRelation" and leaf.relation().getClass().getSimpleName() == "HadoopFsRelation":
+            roots = leaf.relation().location().rootPaths().iterator()
+            while roots.hasNext():
+                found.append(roots.next().toString())
+    return found
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names that df doesn't have, compared without case as Spark does."""
     taken, out = {c.lower() for c in df.columns}, []

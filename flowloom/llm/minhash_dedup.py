@@ -11,7 +11,8 @@ no band with probability 6e-11, one of 0.80 with probability 5e-8. The threshold
 2. Components of the confirmed links. A bucket that lies within one component is settled, however many members it has.
 3. Members of the other buckets of three or more are joined on the rarest members of their sets (the prefix filter, which
    itself loses no pair): those of different components are compared, signatures first as above, and the components are
-   taken again with the links so found. No bucket is capped.
+   taken again with the links so found. No bucket is capped. Holders of one shingle that lie in its largest component meet
+   the others alone, 256 of them a task, so a shingle that a large group shares is split.
 
 Edge cases: null text counts as empty; rows with equal id and text tie, and the first in the input's files stays; an empty
 table gives an empty table; further columns pass through.
@@ -29,10 +30,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowloom.llm import bytescan
-from flowloom.llm.common import fresh, store
+from flowloom.llm.common import fresh, store, temporary
 from flowloom.llm.components import connected_components
 
 WIDTH, HASHES, BANDS, PERCENT = 5, 128, 32, 85
+#: Holders of one shingle that a task compares with the holders in other components.
+SPLIT = 256
 #: Share of the pairs at the threshold that the comparison of signatures may lose.
 MISS = 1e-13
 _ROWS = HASHES // BANDS
@@ -178,12 +181,17 @@ def _cross_pairs(buckets: DataFrame, roots: DataFrame, texts: DataFrame, percent
     shared = members.groupBy("h").agg(F.count("*").alias("df"))
     ranked = members.join(shared, "h").withColumn("at", F.row_number().over(Window.partitionBy("node").orderBy("df", "h")))  # one text's members
     first = store(ranked.where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).where("df > 1").select("h", "node", "root", "n", "at"), "prefixes")
-    apart = first.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("h")
-    first = first.join(apart, "h", "left_semi")
-    left, right = (first.select("h", F.col("node").alias(x), F.col("root").alias(f"r{x}"), F.col("n").alias(f"n{x}"), F.col("at").alias(f"a{x}")) for x in "uv")
+    # members of a shingle's largest component meet only those of its others, not one another
+    by_root = first.groupBy("h", "root").agg(F.count("*").alias("c")).groupBy("h").agg(F.count("*").alias("roots"), F.sum("c").alias("all"), F.max(F.struct("c", "root")).alias("most"))
+    hot = store(by_root.where("roots > 1").select("h", F.col("most.root").alias("top"), F.ceil(F.col("all") / SPLIT).cast("int").alias("salts")), "shingles")
+    first = store(first.join(hot, "h"), "apart")
+    side = lambda rows, x: rows.select("h", "salt", F.col("node").alias(x), F.col("root").alias(f"r{x}"), F.col("n").alias(f"n{x}"), F.col("at").alias(f"a{x}"))
+    left = side(first.where("root <> top").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))), "u")
+    right = side(first.withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int")), "v")
     # the first member that two sets share leaves room for enough others
     room = f"{100 + percent} * (1 + least(nu - au, nv - av)) >= {percent} * (nu + nv)"
-    return left.join(right, "h").where(f"u < v AND ru <> rv AND {room}").select("u", "v").distinct()
+    met = left.join(right, ["h", "salt"]).where(f"ru <> rv AND {room}")
+    return met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
 def near_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", carry: list[str] | None = None, percent: int = PERCENT) -> tuple[DataFrame, str]:
@@ -195,22 +203,24 @@ def near_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", carry:
     own = F.struct(F.lit(0).alias("_"), *(docs[c].alias(f"c{i}") for i, c in enumerate(carry) if c != text))
     rows = docs.select(own.alias("own"), docs[id].alias("id"), F.monotonically_increasing_id().alias("row"), docs[text].alias("text"))
     schema = T.StructType([*rows.schema.fields, *T._parse_datatype_string("n long, k1 long, k2 long, bands array<long>, sig array<short>").fields])
-    base = store(rows.mapInArrow(_sketch(3), schema), "sketches")
-    classes = store(base.where("n > 0").groupBy("n", "k1", "k2").agg(F.min(F.struct("id", "row")).alias("best")).withColumn("node", F.col("best.row")), "classes")
-    reps = store(base.select("row", "bands", "sig").join(classes.select(F.col("node").alias("row")), "row", "left_semi").withColumnRenamed("row", "node"), "reps")
-    buckets = reps.select("node", F.explode("bands").alias("key"))
-    pivots = buckets.groupBy("key").agg(F.min("node").alias("v"), F.count("*").alias("n")).where("n > 1").select("key", "v")
-    buckets = store(buckets.join(pivots, "key"), "buckets")
-    met = buckets.select(F.col("node").alias("row")).distinct()
-    texts = store(base.select("row", "text").join(met, "row", "left_semi").withColumnRenamed("row", "node"), "texts")
-    links = _confirmed(buckets.where("node <> v").select(F.col("node").alias("u"), "v").distinct(), reps, texts, percent)
-    roots = connected_components(links)
-    more = _confirmed(_cross_pairs(buckets.select("key", "node"), roots, texts, percent), reps, texts, percent)
-    if not more.isEmpty():
-        roots = connected_components(links.union(more))
-    joined = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    first = joined.groupBy("root").agg(F.min("best").alias("first"))
-    places = store(joined.join(first, "root").select("n", "k1", "k2", "first"), "places")
+    with temporary(docs.sparkSession) as keep:
+        base = keep(store(rows.mapInArrow(_sketch(3), schema), "sketches"))
+        classes = store(base.where("n > 0").groupBy("n", "k1", "k2").agg(F.min(F.struct("id", "row")).alias("best")).withColumn("node", F.col("best.row")), "classes")
+        reps = store(base.select("row", "bands", "sig").join(classes.select(F.col("node").alias("row")), "row", "left_semi").withColumnRenamed("row", "node"), "reps")
+        buckets = reps.select("node", F.explode("bands").alias("key"))
+        pivots = buckets.groupBy("key").agg(F.min("node").alias("v"), F.count("*").alias("n")).where("n > 1").select("key", "v")
+        buckets = store(buckets.join(pivots, "key"), "buckets")
+        met = buckets.select(F.col("node").alias("row")).distinct()
+        texts = store(base.select("row", "text").join(met, "row", "left_semi").withColumnRenamed("row", "node"), "texts")
+        links = _confirmed(buckets.where("node <> v").select(F.col("node").alias("u"), "v").distinct(), reps, texts, percent)
+        roots = connected_components(links)
+        more = _confirmed(_cross_pairs(buckets.select("key", "node"), roots, texts, percent), reps, texts, percent)
+        if not more.isEmpty():
+            roots = connected_components(links.union(more))
+        joined = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        first = joined.groupBy("root").agg(F.min("best").alias("first"))
+        places = keep(store(joined.join(first, "root").select("n", "k1", "k2", "first"), "places"))
+    base = base.withColumn("k1", F.when(F.col("n") > 0, F.col("k1")).otherwise(F.col("row")))  # empty texts join nothing, each in its own place
     out = base.drop("bands", "sig", *([] if text in carry else ["text"])).join(places, ["n", "k1", "k2"], "left")
     verdict = F.struct(F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("first.id")).otherwise(F.col("id")).alias("component_id"), F.when(F.col("n") > 0, F.col("first.row") == F.col("row")).otherwise(True).alias("kept"))
     return out.select(*((F.col("text") if c == text else F.col("own")[f"c{i}"]).alias(c) for i, c in enumerate(carry)), verdict.alias(name)), name
