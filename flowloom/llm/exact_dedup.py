@@ -2,8 +2,9 @@
 
 1. Every row leaves its id and the MD5 of its normalised text; groups are counted from these light rows, with partial
    sums before the shuffle, so a group of any size costs a row a task.
-2. Texts of groups with two rows or more meet under (hash, salt); the least and the greatest text of each are kept, also
-   with partial results. Equal bytes mean equal extremes; a hash whose extremes differ has collided.
+2. Texts whose hash occurs once are left out where they are read, while Spark measures the table of the other hashes as
+   small; beyond that, by a join whose hot hashes Spark splits. The rest meet under (hash, salt); the least and the greatest
+   text of each are kept, with partial results before the shuffle. Equal bytes mean equal extremes; a hash whose extremes differ has collided.
 3. Rows with a collided hash are grouped again by hash and whole text. Without collisions this step never runs.
 4. Light rows join their group's verdict; Spark splits a skewed hash among tasks.
 
@@ -33,8 +34,8 @@ def collisions(docs: DataFrame, groups: DataFrame, text: str, hashed, salts: int
     """Hashes shared by different texts, found by comparing the bytes of all texts whose hash occurs twice or more."""
     norm = normalised(docs[text])
     full = docs.select(hashed(norm).alias("h"), norm.alias("t")).withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)))
-    many = groups.where("n > 1").select("h", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"))
-    met = full.join(many, ["h", "salt"], "left_semi")
+    many = store(groups.where("n > 1").select("h").distinct(), "many")  # of known size: small, it goes to the texts, and unique ones never leave their task
+    met = full.join(many, "h", "left_semi")
     ends = met.groupBy("h", "salt").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).groupBy("h").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     return store(ends.where("lo <> hi").select("h"), "collided")
 
