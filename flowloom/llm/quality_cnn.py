@@ -20,6 +20,7 @@ from flowloom.llm.fitting import Adam, epochs, sample, sigmoid
 DIM, WIDTH, FILTERS, HIDDEN, BLOCK, BLOCKS = 8, 8, 24, 16, 128, 4
 #: Bounds of the sample to learn from.
 FIT_ROWS, FIT_BYTES = 4000, 60_000
+_NO_BLOCKS = np.zeros(0, np.int64)
 
 
 class ByteCNN:
@@ -43,19 +44,24 @@ class ByteCNN:
         out[np.arange(len(b)) + np.repeat(at[:-1] * BLOCK - offsets[:-1], np.diff(offsets))] = b
         return out, at
 
-    def _responses(self, padded: np.ndarray) -> np.ndarray:
-        """Each filter's response at every second byte: [blocks, BLOCK / 2, FILTERS]."""
+    def _responses(self, padded: np.ndarray, last: np.ndarray = _NO_BLOCKS) -> np.ndarray:
+        """Each filter's response at every second byte: [blocks, BLOCK / 2, FILTERS]; none where it would reach from a text's last block into the next text."""
         x = self.p["embed"][np.concatenate((padded, np.zeros(WIDTH, np.uint8)))].reshape(-1, 2 * DIM)
         n, out = len(padded) // 2, None
         for j in range(WIDTH // 2):
             part = x[j : j + n] @ self.p["filters"][2 * DIM * j : 2 * DIM * (j + 1)]
             out = part if out is None else np.add(out, part, out=out)
-        return out.reshape(-1, BLOCK // 2, FILTERS)
+        out = out.reshape(-1, BLOCK // 2, FILTERS)
+        out[last, 1 - WIDTH // 2 :] = -np.inf
+        return out
 
-    def _maxima(self, padded: np.ndarray) -> np.ndarray:
+    def _maxima(self, padded: np.ndarray, last: np.ndarray = _NO_BLOCKS) -> np.ndarray:
         """Maxima by block and filter. Each step sees the block after it too, so that its last filters meet the text and no zeros."""
-        step = 512 * BLOCK
-        return np.concatenate([self._responses(padded[lo : lo + step + BLOCK])[: step // BLOCK].max(axis=1) for lo in range(0, len(padded), step)])
+        out, step = [], 512
+        for lo in range(0, len(padded) // BLOCK, step):
+            own = last[np.searchsorted(last, lo) : np.searchsorted(last, lo + step)] - lo
+            out.append(self._responses(padded[lo * BLOCK : (lo + step + 1) * BLOCK], own)[:step].max(axis=1))
+        return np.concatenate(out)
 
     @staticmethod
     def _chunks(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -81,7 +87,7 @@ class ByteCNN:
         out = []
         for lo in range(0, len(texts), 64):
             padded, at = self._pad(*bytescan.text_bytes(texts.slice(lo, 64)))
-            chunk, _, upto = self._pooled(self._maxima(padded), at)
+            chunk, _, upto = self._pooled(self._maxima(padded, at[1:] - 1), at)
             out.append(self._head(chunk, upto)[2])
         return np.concatenate(out) if out else np.zeros(0)
 
@@ -96,7 +102,7 @@ class ByteCNN:
     def _gradients(self, texts: pa.Array, y: np.ndarray) -> dict[str, np.ndarray]:
         p = self.p
         padded, at = self._pad(*bytescan.text_bytes(texts))
-        r = self._responses(padded)
+        r = self._responses(padded, at[1:] - 1)
         places = r.argmax(axis=1)
         maxima = np.take_along_axis(r, places[:, None], 1)[:, 0]
         chunk, which, upto = self._pooled(maxima, at)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,6 +61,7 @@ def op10_quote_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _bounded(query):
+    @functools.wraps(query)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return query(small_batches(spark), sf_dir)
 

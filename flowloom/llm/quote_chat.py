@@ -15,7 +15,7 @@
    `messages` messages.
 
 Edge cases: null text counts as empty; a null role is "user"; a null conversation is one of its own; a null turn comes first
-and neither quotes nor is quoted; messages of nothing but quotes stay, empty; rows equal in all columns each stay; an empty
+and neither quotes nor is quoted; the conversation named '' isn't the null one; messages of nothing but quotes stay, empty; rows equal in all columns each stay; an empty
 table gives an empty table; columns other than the four named are not read.
 """
 
@@ -26,7 +26,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowloom.llm.common import store
@@ -127,10 +127,15 @@ def parse_messages(messages: DataFrame, conv: str = "conv_id", turn: str = "turn
     return store(rows.mapInArrow(_parse_rows, "row long, conv string, turn long, role string, own string, holds array<binary>, quotes array<struct<level:int,kind:int,hash:binary>>"), "messages")
 
 
+def _key(conv: str) -> Column:
+    """A join key that is never null and keeps the null conversation apart from all texts, '' too."""
+    return F.when(F.col(conv).isNull(), F.lit("0")).otherwise(F.concat(F.lit("1"), F.col(conv)))
+
+
 def link_replies(parsed: DataFrame) -> DataFrame:
     """row, parent, outside: the message that each quoting message replies to, and whether it is in another conversation."""
-    quotes = parsed.where("turn IS NOT NULL AND size(quotes) > 0").select("row", F.coalesce("conv", F.lit("")).alias("conv"), "turn", F.explode("quotes").alias("q")).select("row", "conv", "turn", "q.*")
-    holds = parsed.where("turn IS NOT NULL").select(F.col("row").alias("at"), F.coalesce("conv", F.lit("")).alias("conv"), F.col("turn").alias("t"), F.explode("holds").alias("hash"))
+    quotes = parsed.where("turn IS NOT NULL AND size(quotes) > 0").select("row", _key("conv").alias("conv"), "turn", F.explode("quotes").alias("q")).select("row", "conv", "turn", "q.*")
+    holds = parsed.where("turn IS NOT NULL").select(F.col("row").alias("at"), _key("conv").alias("conv"), F.col("turn").alias("t"), F.explode("holds").alias("hash"))
     wanted = quotes.select("hash").distinct()
     holds = holds.join(wanted, "hash", "left_semi")  # only hashes that some message quotes
     near = holds.groupBy("hash", "conv").agg(F.min(F.struct("t", "at")).alias("near"))

@@ -133,7 +133,7 @@ def test_viterbi_against_brute_force(spark):
     assert len(coded) == len(sample)
 
 
-def brute_components(texts):
+def brute_components(texts, percent=85):
     def shingles(t):
         w = words(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
         return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
@@ -148,7 +148,7 @@ def brute_components(texts):
     for i, a in enumerate(sets):
         for j in range(i):
             both = len(a & sets[j])
-            if both and 100 * both >= 85 * len(a | sets[j]):
+            if both and 100 * both >= percent * len(a | sets[j]):
                 x, y = find(i), find(j)
                 root[max(x, y)] = min(x, y)
     return [(len(s), find(i)) for i, s in enumerate(sets)]
