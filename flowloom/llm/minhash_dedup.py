@@ -11,7 +11,8 @@ no band with probability 6e-11, one of 0.80 with probability 5e-8. The threshold
 2. Components of the confirmed links. A bucket that lies within one component is settled, however many members it has.
 3. Members of the other buckets of three or more are joined on the rarest members of their sets (the prefix filter, which
    itself loses no pair): those of different components are compared, signatures first as above, and the components are
-   taken again with the links so found. No bucket is capped. Holders of one shingle that lie in its largest component meet
+   taken again with the links so found. Three rounds compare one member of each component for each shingle, which joins most
+   of what belongs together; then all members that are still apart meet. No bucket is capped. Holders of one shingle that lie in its largest component meet
    the others alone, 256 of them a task, so a shingle that a large group shares is split.
 
 Edge cases: null text counts as empty; rows with equal id and text tie, and the first in the input's files stays; an empty
@@ -36,6 +37,8 @@ from flowloom.llm.components import connected_components
 WIDTH, HASHES, BANDS, PERCENT = 5, 128, 32, 85
 #: Holders of one shingle that a task compares with the holders in other components.
 SPLIT = 256
+#: Rounds in which components that share shingles are compared by one member each, before all members are.
+FIRST_ROUNDS = 3
 #: Share of the pairs at the threshold that the comparison of signatures may lose.
 MISS = 1e-13
 _ROWS = HASHES // BANDS
@@ -169,18 +172,41 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0).take(each), part.column(1).take(each), pa.array(np.repeat(n, n)), pa.array(sets.view(np.int64))], names=["node", "root", "n", "h"])
 
 
-def _cross_pairs(buckets: DataFrame, roots: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Pairs of classes in open buckets (of three or more, in several components) that may be similar and aren't yet connected.
+def _prefixes(buckets: DataFrame, roots: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """h, node, root, n, at: members of the sets in open buckets (of three or more, in several components) by which they may meet.
 
     Two sets of similarity t share one of their |x| - ceil(t |x|) + 1 members that come first in any common order. Rarest
     first, these are the members that a text shares with few others, so a text that is far from a large group meets none of it."""
-    placed = buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    placed = _rooted(buckets, roots)
     open_ = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo <> hi AND n > 2").select("key")
     nodes = store(placed.join(open_, "key", "left_semi").select("node", "root").distinct(), "open")
     members = store(nodes.join(texts, "node").select("node", "root", "text").mapInArrow(_members, "node long, root long, n long, h long"), "members")
     shared = members.groupBy("h").agg(F.count("*").alias("df"))
     ranked = members.join(shared, "h").withColumn("at", F.row_number().over(Window.partitionBy("node").orderBy("df", "h")))  # one text's members
-    first = store(ranked.where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).where("df > 1").select("h", "node", "root", "n", "at"), "prefixes")
+    return store(ranked.where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).where("df > 1").select("h", "node", "root", "n", "at"), "prefixes")
+
+
+def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    return rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def _room(percent: int) -> str:
+    """Whether the first member that two sets share leaves room for enough others."""
+    return f"{100 + percent} * (1 + least(nu - au, nv - av)) >= {percent} * (nu + nv)"
+
+
+def _first_pairs(first: DataFrame, percent: int, turn: int) -> DataFrame:
+    """For each shingle a pair of each of its components and its largest one, a member each, other ones every turn: no more pairs than rows."""
+    one = F.min(F.struct(F.xxhash64("h", "node", F.lit(turn)).alias("x"), "node", "n", "at")).alias("one")
+    by_root = store(first.groupBy("h", "root").agg(F.count("*").alias("c"), one), "by_root")
+    top = by_root.groupBy("h").agg(F.max(F.struct("c", "root", "one")).alias("top"), F.count("*").alias("roots")).where("roots > 1")
+    side = lambda c, x: (F.col(f"{c}.node").alias(x), F.col(f"{c}.n").alias(f"n{x}"), F.col(f"{c}.at").alias(f"a{x}"))
+    met = by_root.join(top.select("h", "top"), "h").where("root <> top.root").select(*side("one", "u"), *side("top.one", "v")).where(_room(percent))
+    return met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+
+def _cross_pairs(first: DataFrame, percent: int) -> DataFrame:
+    """All pairs of different components that share a shingle of their prefixes and have room for enough others."""
     # members of a shingle's largest component meet only those of its others, not one another
     by_root = first.groupBy("h", "root").agg(F.count("*").alias("c")).groupBy("h").agg(F.count("*").alias("roots"), F.sum("c").alias("all"), F.max(F.struct("c", "root")).alias("most"))
     hot = store(by_root.where("roots > 1").select("h", F.col("most.root").alias("top"), F.ceil(F.col("all") / SPLIT).cast("int").alias("salts")), "shingles")
@@ -188,9 +214,7 @@ def _cross_pairs(buckets: DataFrame, roots: DataFrame, texts: DataFrame, percent
     side = lambda rows, x: rows.select("h", "salt", F.col("node").alias(x), F.col("root").alias(f"r{x}"), F.col("n").alias(f"n{x}"), F.col("at").alias(f"a{x}"))
     left = side(first.where("root <> top").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))), "u")
     right = side(first.withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int")), "v")
-    # the first member that two sets share leaves room for enough others
-    room = f"{100 + percent} * (1 + least(nu - au, nv - av)) >= {percent} * (nu + nv)"
-    met = left.join(right, ["h", "salt"]).where(f"ru <> rv AND {room}")
+    met = left.join(right, ["h", "salt"]).where(f"ru <> rv AND {_room(percent)}")
     return met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
@@ -214,9 +238,14 @@ def near_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", carry:
         texts = store(base.select("row", "text").join(met, "row", "left_semi").withColumnRenamed("row", "node"), "texts")
         links = _confirmed(buckets.where("node <> v").select(F.col("node").alias("u"), "v").distinct(), reps, texts, percent)
         roots = connected_components(links)
-        more = _confirmed(_cross_pairs(buckets.select("key", "node"), roots, texts, percent), reps, texts, percent)
-        if not more.isEmpty():
-            roots = connected_components(links.union(more))
+        first = _prefixes(buckets.select("key", "node"), roots, texts, percent)
+        for k in range(FIRST_ROUNDS + 1):
+            pairs = _first_pairs(first, percent, k) if k < FIRST_ROUNDS else _cross_pairs(first, percent)
+            more = _confirmed(pairs, reps, texts, percent)
+            if not more.isEmpty():
+                links = links.union(more)
+                roots = connected_components(links)
+                first = store(_rooted(first.drop("root"), roots), "prefixes")
         joined = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         first = joined.groupBy("root").agg(F.min("best").alias("first"))
         places = keep(store(joined.join(first, "root").select("n", "k1", "k2", "first"), "places"))
