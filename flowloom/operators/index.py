@@ -38,6 +38,11 @@ def between(blocks: DataFrame, lo, hi) -> DataFrame:
     return _flat(blocks.where(F.col("key").between(F.lit(lo), F.lit(hi))))
 
 
+def half_open(blocks: DataFrame, lo, hi) -> DataFrame:
+    """From lo on, hi excluded."""
+    return _flat(blocks.where((F.col("key") >= F.lit(lo)) & (F.col("key") < F.lit(hi))))
+
+
 def with_prefix(blocks: DataFrame, prefix: bytes) -> DataFrame:
     """Binary keys that begin with the bytes given: a range, so files sorted by key are pruned."""
     after = (int.from_bytes(prefix, "big") + 1).to_bytes(len(prefix) + 1, "big")

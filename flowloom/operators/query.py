@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowloom.functions.decode import epoch_us
-from flowloom.operators.flows import expand, heads
+from flowloom.operators.flows import heads
 from flowloom.plans.expr import compile_filter
+from flowloom.schema import FLOW
+from flowloom.sources.pcap import write_pcap
 
 
 def time_range(start: str | None, end: str | None) -> Column:
@@ -25,8 +27,19 @@ def select(packets: DataFrame, expression: str, start: str | None = None, end: s
     return packets.where(compile_filter(expression, packets.columns) & time_range(start, end))
 
 
-def select_flows(linked: DataFrame, expression: str, start: str | None = None, end: str | None = None, expand_flows: bool = True) -> DataFrame:
-    """Packets of the chains whose heads an expression finds (or the heads alone), within a time range."""
-    found = heads(linked).where(compile_filter(expression, linked.columns))
-    rows = expand(linked, found) if expand_flows else found
-    return rows.where(time_range(start, end))
+def select_flows(linked: DataFrame, expression: str, start: str | None = None, end: str | None = None, expand_flows: bool = True, flow: list[str] = FLOW) -> DataFrame:
+    """Packets of the chains whose heads an expression finds (or the heads alone), within a time range.
+
+    A chain's packets take their head's verdict over the window that linking has sorted by: no join, no further shuffle."""
+    test = compile_filter(expression, linked.columns)
+    if not expand_flows:
+        return heads(linked).where(test & time_range(start, end))
+    upto = Window.partitionBy("rx_id", *flow).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    verdict = F.last(F.when(F.col("is_head") == 1, F.coalesce(test, F.lit(False))), ignorenulls=True).over(upto)
+    (name,) = [n for n in ("found", "_found", "__found") if n not in linked.columns][:1]
+    return linked.withColumn(name, verdict).where(F.col(name) & time_range(start, end)).drop(name)
+
+
+def to_capture(linked: DataFrame, path: str, expression: str, start: str | None = None, end: str | None = None, expand_flows: bool = True) -> None:
+    """Write what an expression and a time range find as capture files; linked has a payload column."""
+    write_pcap(select_flows(linked, expression, start, end, expand_flows), path)

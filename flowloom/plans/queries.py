@@ -14,7 +14,7 @@ from flowloom.functions import decode, zorder
 from flowloom.operators import flows, index, query, tags
 from flowloom.schema import INDEXES
 from flowloom.sources import pcap
-from flowloom.sources.packets import packets, with_offsets
+from flowloom.sources.packets import binary_vector, flow_text, packets, with_offsets, write_vector
 from flowloom.streaming import linking
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,7 +50,9 @@ def registered(sql: str | None = None, name: str | None = None):
 def scratch_dir(spark: SparkSession) -> str:
     """A new path in the folder that driver and executors share (spark.checkpoint.dir; a temporary one where it is unset), removed at the end."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    path = f"{(shared or tempfile.gettempdir()).rstrip('/')}/flowloom-{uuid.uuid4().hex}"
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    path = f"{(shared or f'file://{tempfile.gettempdir()}').rstrip('/')}/flowloom-{uuid.uuid4().hex}"
 
     def remove() -> None:
         if spark.sparkContext._jsc is not None:
@@ -310,3 +312,95 @@ def stream_flow_link(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows.where(F.floor(F.col("seq") * 3 / (last + 1)) == k).coalesce(2).write.mode("append").parquet(f"{path}/packets")
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(f"{path}/packets")
     return linking.run_available(linking.link_stream(stream), f"{path}/out", f"{path}/checkpoint").select("seq", "off", "is_head", "segment")
+
+
+def _payload6(rows: DataFrame) -> DataFrame:
+    """A version 6 packet of each row: fixed header, then a TCP header with ports and flags."""
+    number = lambda c, digits: F.lpad(F.hex(F.col(c).cast("long")), digits, "0")
+    tcp = F.concat(number("src_port", 4), number("dst_port", 4), F.lit("00" * 8 + "50"), number("tcp_flags", 2), F.lit("00" * 6))
+    return rows.withColumn("payload", F.unhex(F.concat(F.lit("60000000" + "0014" + "06" + "40"), F.hex("src_ip6"), F.hex("dst_ip6"), tcp)))
+
+
+@registered(f"WITH {PK} SELECT seq, 6 AS version, src6, dst6, src_port, dst_port, tcp_flags, 6 AS protocol FROM pk")
+def decode_ipv6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = decode.packet_columns(F.col("payload"))
+    own = (c[k].alias(k) for k in ("version", "src_port", "dst_port", "tcp_flags", "protocol"))
+    return _payload6(packets(spark, sf_dir)).select("seq", *own, F.hex(c["src_ip6"]).alias("src6"), F.hex(c["dst_ip6"]).alias("dst6"))
+
+
+@registered(f"WITH {PK} SELECT seq, 0 AS version, 0 AS src_port FROM pk WHERE seq % 4 IN (1, 2) UNION ALL SELECT seq, 4, src_port FROM pk WHERE seq % 4 = 0 UNION ALL SELECT seq, 4, 0 FROM pk WHERE seq % 4 = 3")
+def non_ip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole packets, address resolution frames, empty ones, and packets cut off after their IP header."""
+    whole, kind = F.col("payload"), F.col("seq") % 4
+    bytes_ = F.when(kind == 0, whole).when(kind == 1, F.unhex(F.lit("0001080006040001"))).when(kind == 2, F.unhex(F.lit(""))).otherwise(F.substring(whole, 1, 20))
+    c = decode.packet_columns(F.col("payload"))
+    return pcap.payload_of(packets(spark, sf_dir)).withColumn("payload", bytes_).select("seq", c["version"].alias("version"), F.coalesce(c["src_port"], F.lit(0)).alias("src_port"))
+
+
+@registered(f"WITH {PK} SELECT seq, CAST(src_ip >> 16 AS BIGINT) AS net, CAST(6 AS BIGINT) AS proto, CAST(5 AS BIGINT) AS fixed, CAST(0 AS BIGINT) AS other FROM pk")
+def tag_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields of 16 and 8 bits, a literal, and a length that isn't one of them."""
+    cut = lambda at, bits, name: decode.field(F.col("payload"), at, bits).alias(name)
+    return pcap.payload_of(packets(spark, sf_dir)).select("seq", cut(96, 16, "net"), cut(72, 8, "proto"), cut(5, 0, "fixed"), cut(8, 7, "other"))
+
+
+@registered(f"WITH {PK} SELECT seq, concat_ws('.', src_ip >> 24, (src_ip >> 16) & 255, (src_ip >> 8) & 255, src_ip & 255) AS text, src_ip, src6 FROM pk")
+def ip_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = packets(spark, sf_dir).select("seq", decode.long_to_ip(F.col("src_ip")).alias("text"), F.concat(F.lit("2001:db8::"), F.lower(F.hex(F.col("src_ip") - 167772160))).alias("six"))
+    return rows.select("seq", "text", decode.ip_to_long(F.col("text")).alias("src_ip"), F.hex(decode.ip6_to_binary(F.col("six"))).alias("src6"))
+
+
+@registered(f"WITH {PK} SELECT src_ip, src_port, dst_ip, dst_port, count(*) AS packets FROM pk GROUP BY ALL")
+def text_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flows written as text lines and read back."""
+    path = f"{scratch_dir(spark)}/flows"
+    found = packets(spark, sf_dir).groupBy("src_ip", "src_port", "dst_ip", "dst_port").count()
+    ip = lambda c: decode.long_to_ip(F.col(c))
+    found.select(F.format_string("('%s', %d, '%s', %d): %d", ip("src_ip"), "src_port", ip("dst_ip"), "dst_port", "count")).write.text(path)
+    return flow_text(spark, path).select("src_ip", "src_port", "dst_ip", "dst_port", "packets")
+
+
+@registered(f"WITH {PK} SELECT src_ip, dst_ip, src_port, dst_port FROM pk")
+def vector_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flow records written as packed binary files and read back."""
+    path = f"{scratch_dir(spark)}/vectors"
+    write_vector(packets(spark, sf_dir), path)
+    return binary_vector(spark, f"{path}/*.vec", "flow4").select("src_ip", "dst_ip", "src_port", "dst_port")
+
+
+@registered(
+    f"WITH {LK}, h AS (SELECT src_ip, dst_ip, src_port, dst_port, segment FROM sg WHERE is_head = 1 AND (src_ip = 167772165 OR dst_port = 443)) SELECT ts_us, src_ip, dst_ip, src_port, dst_port, tcp_flags "
+    f"FROM sg SEMI JOIN h USING (src_ip, dst_ip, src_port, dst_port, segment) WHERE ts_us BETWEEN (SELECT min(ts_us) FROM pk) + 86400000000 AND (SELECT min(ts_us) FROM pk) + 864000000000"
+)
+def query_to_capture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An expression and a time range to a capture file of whole flows, read back."""
+    path, rows = f"{scratch_dir(spark)}/answer", packets(spark, sf_dir)
+    first = rows.agg(F.min("ts_us")).first()[0] or 0
+    at = lambda us: f"{us // 1_000_000}.{us % 1_000_000:06d}"
+    query.to_capture(pcap.payload_of(linked_packets(spark, sf_dir)), path, "srcip == 10.0.0.5 || dstport == 443", at(first + 86400000000), at(first + 864000000000))
+    return pcap.decoded(pcap.read_pcap(spark, f"{path}/*.pcap")).select("ts_us", "src_ip", "dst_ip", "src_port", "dst_port", "tcp_flags")
+
+
+@registered(f"WITH {PK} SELECT dst_port AS key, count(*) AS n FROM pk GROUP BY 1")
+def stream_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Capture files as a stream, decoded, and flushed as index files by micro-batch."""
+    path = scratch_dir(spark)
+    pcap.write_pcap(pcap.payload_of(packets(spark, sf_dir)), f"{path}/capture")
+    stream = pcap.decoded(pcap.read_pcap(spark, f"{path}/capture/*.pcap", stream=True)).withColumn("rx_id", F.lit(0))
+    linking.index_stream(stream, f"{path}/index", f"{path}/checkpoint", ["dst_port", "src_ip"], 4).awaitTermination()
+    return spark.read.parquet(f"{path}/index/dst_port").groupBy("key").agg(F.count("*").alias("n"))
+
+
+@registered(f"WITH {LK} SELECT src_port AS key, rx_id, off FROM sg WHERE is_head = 1 AND src_port >= 1025 AND src_port < 1028")
+def index_file_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A half-open range looked up in written index files."""
+    path = f"{scratch_dir(spark)}/index"
+    index.write(index.compact(index.postings(flows.heads(linked_packets(spark, sf_dir)), 2)), path, 4, bloom=False)
+    return index.half_open(spark.read.parquet(path), 1025, 1028)
+
+
+@registered(f"WITH {PK} SELECT seq, z >> 20 AS top, z & 1048575 AS rest FROM (SELECT seq, CAST(({' + '.join(f'(((src_port >> {k}) & 1) << {2 * k}) + (((dst_port >> {k}) & 1) << {2 * k + 1})' for k in range(16))}) AS BIGINT) AS z FROM pk)")
+def zorder_digits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The leading three digits of z and what is left below them."""
+    z = zorder.interleave(F.col("src_port"), F.col("dst_port"))
+    return packets(spark, sf_dir).select("seq", zorder.prefix(z, 3).alias("top"), zorder.suffix(z, 3).alias("rest"))

@@ -6,6 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -81,6 +83,30 @@ VECTORS = {
 }
 
 
+def write_vector(rows: DataFrame, path: str, kind: str = "flow4") -> int:
+    """Write rows as packed records, a file a partition, whole or not at all; returns the number of records. path is a URI that tasks can write to."""
+    record = VECTORS[kind]
+    names = [n for n in record.names if n != "pad"]
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = []
+        for batch in batches:
+            data = np.zeros(len(batch), record)
+            for k, n in enumerate(names):
+                data[n] = batch.column(k).to_numpy(zero_copy_only=False)
+            parts.append(data.tobytes())
+        fs, root = pafs.FileSystem.from_uri(path)
+        fs.create_dir(root, recursive=True)
+        context = TaskContext.get()
+        own = f"{root}/part-{context.partitionId():05d}.vec"
+        with fs.open_output_stream(f"{own}.{context.taskAttemptId()}.tmp") as out:
+            out.write(b"".join(parts))
+        fs.move(f"{own}.{context.taskAttemptId()}.tmp", own)
+        yield pa.RecordBatch.from_pydict({"n": [sum(map(len, parts)) // record.itemsize]})
+
+    return rows.select(*names).mapInArrow(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 def binary_vector(spark: SparkSession, path: str, kind: str) -> DataFrame:
     """Packed records of files, numbered from 0 in each; 64-bit values of 2^63 and above don't occur in counts and flags."""
     record = VECTORS[kind]

@@ -12,6 +12,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from flowloom.operators.flows import GAP_BYTES, GAP_US
 from flowloom.schema import FLOW
 
+#: The session option that stateful linking needs, and its value.
+STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 STATE = "off long, ts_us long, segment long, total long"
 OUTPUT = "rx_id int, src_ip long, dst_ip long, src_port int, dst_port int, seq long, off long, is_head int, segment long, prev_off long, flow_bytes long"
 
@@ -30,23 +32,27 @@ class Linker(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         packets = pd.concat(list(rows)).sort_values("seq")
         off, ts, segment, total = self.last.get() if self.last.exists() else (None, None, 0, 0)
-        out = []
-        for p in packets.itertuples(index=False):
-            head = off is None or p.off - off > self.gap_bytes or p.ts_us - ts > self.gap_us
-            segment, total = segment + head, total + p.caplen
-            out.append((*key, p.seq, p.off, int(head), segment, None if head else off, total))
-            off, ts = p.off, p.ts_us
-        self.last.update((int(off), int(ts), int(segment), int(total)))
-        frame = pd.DataFrame(out, columns=[c.split()[0] for c in OUTPUT.split(", ")])
-        yield frame.astype({"prev_off": "Int64"})
+        before = packets[["off", "ts_us"]].shift(1).astype("Int64")
+        if off is not None:
+            before.iloc[0] = [off, ts]
+        gap = (packets["off"] - before["off"] > self.gap_bytes) | (packets["ts_us"] - before["ts_us"] > self.gap_us)
+        head = before["off"].isna() | gap.fillna(False)
+        frame = pd.DataFrame(dict(zip(["rx_id", *FLOW], key, strict=True)), index=packets.index)
+        frame["seq"], frame["off"], frame["is_head"] = packets["seq"], packets["off"], head.astype("int32")
+        frame["segment"] = segment + head.astype("int64").cumsum()
+        frame["prev_off"] = before["off"].where(~head)
+        frame["flow_bytes"] = total + packets["caplen"].cumsum()
+        self.last.update(tuple(int(x) for x in (packets["off"].iloc[-1], packets["ts_us"].iloc[-1], frame["segment"].iloc[-1], frame["flow_bytes"].iloc[-1])))
+        yield frame[[c.split()[0] for c in OUTPUT.split(", ")]]
 
     def close(self) -> None:
         pass
 
 
 def link_stream(packets: DataFrame, gap_bytes: int = GAP_BYTES, gap_us: int = GAP_US, ttl_ms: int | None = None) -> DataFrame:
-    """A stream of packets (rx_id, flow, seq, off, ts_us, caplen) as linked packets; state is kept by queue and flow in RocksDB."""
-    packets.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    """A stream of packets (rx_id, flow, seq, off, ts_us, caplen) as linked packets; state is kept by queue and flow.
+
+    The query needs the RocksDB state store: run_available() sets it, other callers set STORE in their session."""
     rows = packets.select("rx_id", *FLOW, "seq", "off", "ts_us", "caplen")
     return rows.groupBy("rx_id", *FLOW).transformWithStateInPandas(Linker(gap_bytes, gap_us, ttl_ms), OUTPUT, "Append", "ProcessingTime" if ttl_ms else "None")
 
@@ -59,9 +65,14 @@ def window_counts(packets: DataFrame, late: str = "10 minutes", width: str = "1
 
 def run_available(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
     """Process all that is there into Parquet files, stop, and read them."""
-    query = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
-    query.awaitTermination()
     spark: SparkSession = stream.sparkSession
+    was = spark.conf.get(STORE[0])
+    spark.conf.set(*STORE)
+    try:
+        query = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        spark.conf.set(STORE[0], was)
     return spark.read.schema(stream.schema).parquet(path)
 
 
