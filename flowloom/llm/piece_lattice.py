@@ -339,18 +339,23 @@ def _runs(group: pa.Array, part: pa.Array) -> list[int]:
 
 
 def _missing(shared, cut: np.ndarray):
-    """(group, part, word) of the words that the dictionary lacks, each once a megabyte, from (group, part, text)."""
+    """(group, part, word) of the words that the dictionary lacks, each once a part in every task, from (group, part, text)."""
 
     def missing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, seen = None, set()
         for whole in batches:
             for first, last in itertools.pairwise(_runs(whole.column(0), whole.column(1))):
                 batch = whole.slice(first, last - first)
+                if (own := (batch.column(0)[0].as_py(), batch.column(1)[0].as_py())) != place:
+                    place, seen = own, set()
                 for lo, hi in _batches(batch.column(2)):
                     b, starts, ends, _ = _words(batch.column(2).slice(lo, hi - lo), cut)
                     hashes, at, _ = bytescan.kinds(b, starts, ends)
                     rare = at[shared.value.find(hashes, b, starts[at], ends[at]) < 0]
                     raw = b.tobytes()
-                    words = [raw[i:j].decode().replace(" ", SPACE) for i, j in zip(starts[rare].tolist(), ends[rare].tolist(), strict=True)]
+                    new = {raw[i:j] for i, j in zip(starts[rare].tolist(), ends[rare].tolist(), strict=True)} - seen
+                    seen |= new
+                    words = [w.decode().replace(" ", SPACE) for w in new]
                     same = lambda c: batch.column(c).slice(0, 1).take(pa.array(np.zeros(len(words), np.int64)))  # noqa: E731, B023
                     yield pa.RecordBatch.from_arrays([same(0), same(1), pa.array(words, pa.string())], names=["g", "p", "word"])
 
@@ -469,7 +474,7 @@ def encode(docs: DataFrame, model: str, text: str = "text", carry: list[str] | N
     shape = "g long, p int, word string"
     none = spark.sparkContext.broadcast(Dictionary(pa.array([], pa.string()), pa.array([], pa.list_(pa.int32()))))
     every = max(1, docs.count() // sampled)
-    few = docs.select(F.lit(0).cast("long").alias("g"), F.lit(0).alias("p"), docs[text].alias("text")).where(F.pmod(F.xxhash64(place), F.lit(every)) == 0)
+    few = docs.select(F.lit(0).cast("long").alias("g"), part.alias("p"), docs[text].alias("text")).where(F.pmod(F.xxhash64(place), F.lit(every)) == 0)
     again = few.mapInArrow(_missing(none, cut), shape).groupBy("word").count().where("count > 1")
     common = store(again.orderBy(F.desc("count"), "word").limit(frequent).select("word"), "common")
     in_memory = {"spark.sql.objectHashAggregate.sortBased.fallbackThreshold": 2 * WORDS_A_PART}  # a task groups its words' edges without sorting
@@ -478,7 +483,7 @@ def encode(docs: DataFrame, model: str, text: str = "text", carry: list[str] | N
     whole = lambda c: found[c].combine_chunks() if isinstance(found[c], pa.ChunkedArray) else found[c]
     shared = spark.sparkContext.broadcast(Dictionary(whole("word"), whole("ids")))
     drop(common)
-    rare = store(texts.mapInArrow(_missing(shared, cut), shape).distinct(), "rare")
+    rare = store(texts.mapInArrow(_missing(shared, cut), shape), "rare")  # a part that two tasks read may have a word twice, which does no harm
     words = store(rare.select("word").distinct(), "words")
     with settings(spark, in_memory):
         coded = store(encode_words(words, pieces), "coded")

@@ -38,7 +38,7 @@ def op3_piece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = tokenizer_file("piece_bpe_32k.model")
     coded, ids = piece_lattice.encode(table(spark, sf_dir, "documents"), model, carry=["doc_id", "text"])
     back = piece_lattice.decode(model)(F.col(ids))
-    same = back == F.translate(F.coalesce("text", F.lit("")), piece_lattice.SPACE, " ")
+    same = back == F.replace(F.coalesce("text", F.lit("")), F.lit(piece_lattice.SPACE), F.lit(" "))
     return coded.select("doc_id", F.size(ids).cast("long").alias("n_ids"), F.crc32(F.array_join(F.col(ids).cast("array<string>"), ",").cast("binary")).alias("ids_crc32"), same.alias("round_trip"))
 
 
