@@ -11,8 +11,9 @@ no band with probability 6e-11, one of 0.80 with probability 5e-8. The threshold
 2. Components of the confirmed links. A bucket that lies within one component is settled, however many members it has.
 3. Members of the other buckets of three or more are joined on the rarest members of their sets (the prefix filter, which
    itself loses no pair): those of different components are compared, signatures first as above, and the components are
-   taken again with the links so found. Three rounds compare one member of each component for each shingle, which joins most
-   of what belongs together; then all members that are still apart meet. No bucket is capped. Holders of one shingle that lie in its largest component meet
+   taken again with the links so found. Up to three rounds compare, for each shingle, one member of each component with 32 of
+   its largest component, which joins most of what belongs together; then all members that are still apart meet, whatever
+   the rounds have compared. No bucket is capped. Holders of one shingle that lie in its largest component meet
    the others alone, 256 of them a task, so a shingle that a large group shares is split.
 
 Edge cases: null text counts as empty; rows with equal id and text tie, and the first in the input's files stays; an empty
@@ -37,8 +38,9 @@ from flowloom.llm.components import connected_components
 WIDTH, HASHES, BANDS, PERCENT = 5, 128, 32, 85
 #: Holders of one shingle that a task compares with the holders in other components.
 SPLIT = 256
-#: Rounds in which components that share shingles are compared by one member each, before all members are.
-FIRST_ROUNDS = 3
+#: Rounds in which components that share shingles are compared by a few members each, before all members are; and how many
+#: members of a shingle's largest component such a round compares with one of each other component.
+FIRST_ROUNDS, TRIES = 3, 32
 #: Share of the pairs at the threshold that the comparison of signatures may lose.
 MISS = 1e-13
 _ROWS = HASHES // BANDS
@@ -196,12 +198,19 @@ def _room(percent: int) -> str:
 
 
 def _first_pairs(first: DataFrame, percent: int, turn: int) -> DataFrame:
-    """For each shingle a pair of each of its components and its largest one, a member each, other ones every turn: no more pairs than rows."""
-    one = F.min(F.struct(F.xxhash64("h", "node", F.lit(turn)).alias("x"), "node", "n", "at")).alias("one")
-    by_root = store(first.groupBy("h", "root").agg(F.count("*").alias("c"), one), "by_root")
-    top = by_root.groupBy("h").agg(F.max(F.struct("c", "root", "one")).alias("top"), F.count("*").alias("roots")).where("roots > 1")
-    side = lambda c, x: (F.col(f"{c}.node").alias(x), F.col(f"{c}.n").alias(f"n{x}"), F.col(f"{c}.at").alias(f"a{x}"))
-    met = by_root.join(top.select("h", "top"), "h").where("root <> top.root").select(*side("one", "u"), *side("top.one", "v")).where(_room(percent))
+    """For each shingle a member of each of its components with TRIES members of its largest one, other ones every turn: at most TRIES pairs a row.
+
+    Joined by shingle and place among the tries, so a shingle that many components share is split."""
+    one = F.min(F.struct(F.xxhash64("node", F.lit(turn), "h").alias("x"), "node", "n", "at")).alias("one")
+    slot = F.pmod(F.xxhash64("h", "node", F.lit(turn)), F.lit(TRIES)).cast("int").alias("slot")
+    by_slot = store(first.groupBy("h", "root", slot).agg(F.count("*").alias("c"), one), "by_slot")
+    by_root = by_slot.groupBy("h", "root").agg(F.sum("c").alias("c"), F.min("one").alias("one"))
+    top = store(by_root.groupBy("h").agg(F.max(F.struct("c", "root")).alias("most"), F.count("*").alias("roots")).where("roots > 1").select("h", F.col("most.root").alias("top")), "top")
+    side = lambda x: (F.col("one.node").alias(x), F.col("one.n").alias(f"n{x}"), F.col("one.at").alias(f"a{x}"))
+    each = F.explode(F.sequence(F.lit(0), F.lit(TRIES - 1))).alias("slot")
+    others = by_root.join(top, "h").where("root <> top").select("h", *side("u"), each)
+    tried = by_slot.join(top, "h").where("root = top").select("h", "slot", *side("v"))
+    met = others.join(tried, ["h", "slot"]).where(_room(percent))
     return met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
