@@ -32,10 +32,11 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def _tidy(stage: Stage) -> Stage:
-    """The stage, removing first what earlier ones have stored, unless docs still reads it."""
+    """The stage, with small Arrow batches, removing first what earlier ones have stored, unless docs still reads it."""
 
     @functools.wraps(stage)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        small_batches(spark)
         inputs = reads(docs) if _left else []
         if not any(path.rpartition("/")[2] in x for path in _left for x in inputs):
             while _left:
@@ -74,6 +75,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_ids and ids of every row of the mix. What it stores stays until the driver ends, as its rows are the result."""
+    small_batches(spark)
     coded, ids = piece_lattice.encode(docs, tokenizer_file("piece_bpe_32k.model"), carry=["doc_id", "lang", "source"])
     return coded.select("doc_id", "lang", "source", F.size(ids).cast("long").alias("n_ids"), F.col(ids).alias("ids"))
 
@@ -84,7 +86,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage, each stage written to the shared folder and read again as the next one's documents."""
-    docs = table(small_batches(spark), sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         rows = stage(spark, docs, sf_dir)
         if k + 1 == len(STAGES):
