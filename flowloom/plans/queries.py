@@ -346,7 +346,9 @@ def tag_field(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered(f"WITH {PK} SELECT seq, concat_ws('.', src_ip >> 24, (src_ip >> 16) & 255, (src_ip >> 8) & 255, src_ip & 255) AS text, src_ip, src6 FROM pk")
 def ip_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = packets(spark, sf_dir).select("seq", decode.long_to_ip(F.col("src_ip")).alias("text"), F.concat(F.lit("2001:db8::"), F.lower(F.hex(F.col("src_ip") - 167772160))).alias("six"))
+    group = lambda k: F.regexp_replace(F.substring(F.lower(F.hex("src_ip6")), 4 * k + 1, 4), "^0{1,3}", "")
+    six = F.concat(F.lit("2001:db8::"), group(6), F.lit(":"), group(7))  # a user takes the last two groups, from 65536 on both
+    rows = packets(spark, sf_dir).select("seq", decode.long_to_ip(F.col("src_ip")).alias("text"), six.alias("six"))
     return rows.select("seq", "text", decode.ip_to_long(F.col("text")).alias("src_ip"), F.hex(decode.ip6_to_binary(F.col("six"))).alias("src6"))
 
 
