@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from flowloom.functions import decode, zorder
 from flowloom.operators import flows, index, query, tags
-from flowloom.schema import INDEXES
+from flowloom.schema import FLOW, INDEXES
 from flowloom.sources import pcap
 from flowloom.sources.packets import binary_vector, flow_text, packets, with_offsets, write_vector
 from flowloom.streaming import linking
@@ -306,10 +306,11 @@ def bloom_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_flow_link(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flow linking as a stream over files of packets in order of arrival."""
     path = scratch_dir(spark)
-    rows = offset_packets(spark, sf_dir)
+    offset_packets(spark, sf_dir).write.parquet(f"{path}/all")
+    rows = spark.read.parquet(f"{path}/all")
     last = rows.agg(F.max("seq")).first()[0] or 0
-    for k in range(3):
-        rows.where(F.floor(F.col("seq") * 3 / (last + 1)) == k).coalesce(2).write.mode("append").parquet(f"{path}/packets")
+    for k in range(3):  # a flow's packets of one write lie in one file, so no batch has a later one without an earlier one
+        rows.where(F.floor(F.col("seq") * 3 / (last + 1)) == k).repartition(2, "rx_id", *FLOW).write.mode("append").parquet(f"{path}/packets")
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(f"{path}/packets")
     return linking.run_available(linking.link_stream(stream), f"{path}/out", f"{path}/checkpoint").select("seq", "off", "is_head", "segment")
 
