@@ -29,7 +29,6 @@ import itertools
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.fs as pafs
@@ -406,8 +405,34 @@ class _Patches:
             self.first, self.size, self.flat = upto[:-1], np.diff(upto), own.column("ids").flatten().to_numpy(zero_copy_only=False).astype(np.int32)
 
 
-def _assemble(shared, cut: np.ndarray, folder: str):
-    """(own, text, ids) from (own, text, group, part)."""
+class _Surface:
+    """The texts of lists of ids, all of a batch at once."""
+
+    def __init__(self, surface: list[bytes]):
+        self.size = np.array([len(x) for x in surface], np.int64)
+        self.first, self.bytes = np.cumsum(self.size) - self.size, np.frombuffer(b"".join(surface), np.uint8)
+
+    def texts(self, ids: pa.ListArray) -> pa.StringArray:
+        """Each list's bytes without the first, which is the dummy blank; null stays null. Bytes that make no character become U+FFFD."""
+        flat = ids.flatten().to_numpy(zero_copy_only=False)
+        n = self.size[flat]
+        last = np.cumsum(n)
+        b = self.bytes[np.arange(last[-1] if len(last) else 0) + np.repeat(self.first[flat] - last + n, n)]
+        upto = np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)))).astype(np.int64)
+        begin = np.concatenate(([0], last))[upto]
+        some = begin[1:] > begin[:-1]
+        b = np.delete(b, begin[:-1][some])
+        begin -= np.concatenate(([0], np.cumsum(some)))
+        raw = pa.Array.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(begin.astype(np.int64)), pa.py_buffer(b)])
+        try:
+            out = raw.cast(pa.large_string()).cast(pa.string())
+        except pa.ArrowInvalid:
+            out = pa.array([x.decode(errors="replace") for x in raw.to_pylist()], pa.string())
+        return pc.if_else(ids.is_valid(), out, pa.scalar(None, pa.string()))
+
+
+def _assemble(shared, cut: np.ndarray, folder: str, surface: _Surface | None):
+    """(own, text, ids) from (own, text, group, part), and the text that the ids decode to where their surface is given."""
 
     def coded(texts: pa.Array, patches: _Patches) -> pa.Array:
         known = shared.value
@@ -444,7 +469,8 @@ def _assemble(shared, cut: np.ndarray, folder: str):
                 batch = whole.slice(first, last - first)
                 for lo, hi in _batches(batch.column(1)):
                     part = batch.slice(lo, hi - lo)
-                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), coded(part.column(1), patches)], names=["own", "text", "ids"])
+                    out = {"own": part.column(0), "text": part.column(1), "ids": coded(part.column(1), patches)}
+                    yield pa.RecordBatch.from_pydict(out if surface is None else out | {"decoded": surface.texts(out["ids"])})
 
     return assemble
 
@@ -460,8 +486,10 @@ def _placed(docs: DataFrame) -> tuple[DataFrame, Column]:
     return docs, F.struct(meta["file_path"].alias("file"), meta["row_index"].alias("row"))
 
 
-def encode(docs: DataFrame, model: str, text: str = "text", carry: list[str] | None = None, frequent: int = FREQUENT_WORDS, sampled: int = SAMPLE_TEXTS) -> tuple[DataFrame, str]:
-    """docs' columns (or those of carry) and the ids of each whole text; returns it and the new column's name."""
+def encode(docs: DataFrame, model: str, text: str = "text", carry: list[str] | None = None, frequent: int = FREQUENT_WORDS, sampled: int = SAMPLE_TEXTS, decoded: str | None = None) -> tuple[DataFrame, str]:
+    """docs' columns (or those of carry) and the ids of each whole text; returns it and the new column's name.
+
+    decoded names a further column, the text that the ids decode to: the Python worker that made the ids does that, so no second worker and its memory are needed."""
     spark = docs.sparkSession
     carry = docs.columns if carry is None else carry
     (name,) = fresh(docs, "ids")
@@ -495,17 +523,18 @@ def encode(docs: DataFrame, model: str, text: str = "text", carry: list[str] | N
     drop(coded)
     own = F.struct(F.lit(0).alias("_"), *(docs[c].alias(f"c{i}") for i, c in enumerate(carry) if c != text))
     rows = docs.select(own.alias("own"), docs[text].alias("text"), group.alias("g"), part.alias("p"))
-    schema = T.StructType([rows.schema["own"], rows.schema["text"], T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    done = rows.mapInArrow(_assemble(shared, cut, folder), schema)
-    return done.select(*((F.col("text") if c == text else F.col("own")[f"c{i}"]).alias(c) for i, c in enumerate(carry)), F.col("ids").alias(name)), name
+    schema = T.StructType([rows.schema["own"], rows.schema["text"], T.StructField("ids", T.ArrayType(T.IntegerType()))] + [T.StructField("decoded", T.StringType())] * (decoded is not None))
+    done = rows.mapInArrow(_assemble(shared, cut, folder, None if decoded is None else _Surface(pieces.surface)), schema)
+    more = [] if decoded is None else [F.col("decoded").alias(decoded)]
+    return done.select(*((F.col("text") if c == text else F.col("own")[f"c{i}"]).alias(c) for i, c in enumerate(carry)), F.col("ids").alias(name), *more), name
 
 
 def decode(model: str):
     """A column function: the text of an array of ids. Bytes that make no character become U+FFFD."""
-    surface = Pieces(model).surface
+    surface = _Surface(Pieces(model).surface)
 
-    @F.pandas_udf("string")
-    def text(ids: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None else b"".join([surface[i] for i in x.tolist()])[1:].decode(errors="replace") for x in ids], dtype=object)
+    @F.arrow_udf("string")
+    def text(ids: pa.Array) -> pa.Array:
+        return surface.texts(ids)
 
     return text

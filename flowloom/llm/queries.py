@@ -36,9 +36,8 @@ def op2_token_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_piece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, the number of ids, a digest of them, and whether decoding them gives the text again."""
     model = tokenizer_file("piece_bpe_32k.model")
-    coded, ids = piece_lattice.encode(table(spark, sf_dir, "documents"), model, carry=["doc_id", "text"])
-    back = piece_lattice.decode(model)(F.col(ids))
-    same = back == F.replace(F.coalesce("text", F.lit("")), F.lit(piece_lattice.SPACE), F.lit(" "))
+    coded, ids = piece_lattice.encode(table(spark, sf_dir, "documents"), model, carry=["doc_id", "text"], decoded="decoded")
+    same = F.col("decoded") == F.replace(F.coalesce("text", F.lit("")), F.lit(piece_lattice.SPACE), F.lit(" "))
     return coded.select("doc_id", F.size(ids).cast("long").alias("n_ids"), F.crc32(F.array_join(F.col(ids).cast("array<string>"), ",").cast("binary")).alias("ids_crc32"), same.alias("round_trip"))
 
 
