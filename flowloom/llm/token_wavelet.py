@@ -9,6 +9,7 @@ bits; every section is a zstandard frame.
 
 Texts become ids piece by piece. A piece begins at a blank after something that is no blank; the tokenizer's pre-tokens
 never cross such a place, so pieces encode alone as they do in their text, and each worker encodes a repeated piece once.
+New pieces are put in rows, as they could stand in a text, because the tokenizer takes long for each text it is given.
 
 Edge cases: null text counts as empty and leaves the end id alone; null ids come first; repeated rows each have an entry;
 an empty table gives no file and an empty result; a text is held in one task's memory, and so is its shard.
@@ -33,6 +34,8 @@ from flowloom.llm import bytescan
 from flowloom.llm.common import put_file, scratch, store
 
 MAGIC, END, SHARD_TOKENS, CACHE_PIECES = b"FLWM0001", 0, 1 << 21, 2_000_000
+#: About the bytes of new pieces that the tokenizer gets as one text.
+JOINED = 2048
 
 
 class WaveletMatrix:
@@ -156,6 +159,11 @@ class PieceEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.bits = max(1, int(self.tokenizer.get_vocab_size() - 1).bit_length())
+        vocabulary = self.tokenizer.get_vocab()
+        self.bytes = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)  # that a token stands for, where each of its characters is a byte
+        self.bytes[list(vocabulary.values())] = [len(x) for x in vocabulary]
+        for i, token in self.tokenizer.get_added_tokens_decoder().items():
+            self.bytes[i] = len(token.content.encode())
         self._clear()
 
     def _clear(self) -> None:
@@ -175,6 +183,33 @@ class PieceEncoder:
         begins[0], begins[cuts] = True, True
         return np.flatnonzero(begins)
 
+    def _coded(self, b: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Tokens of pieces, their numbers of tokens, and the pieces' bytes.
+
+        Pieces go to the tokenizer in rows: one may follow another wherever a piece would begin at that place of a text. The
+        tokens' bytes tell the pieces apart; should any piece not end with a token, all are encoded alone."""
+        size = ends - starts
+        upto = np.cumsum(size)
+        begin = upto - size
+        text = b[np.arange(upto[-1]) + np.repeat(starts - begin, size)]
+        raw, free = text.tobytes(), np.zeros(len(text), bool)
+        free[self._starts(text, begin[:0])] = True
+        alone = ~free[begin]
+        alone[0] = True
+        alone[1:] |= begin[1:] // JOINED != begin[:-1] // JOINED
+
+        def encoded(begin: np.ndarray) -> list[list[int]]:
+            rows = [raw[i:j].decode() for i, j in itertools.pairwise([*begin.tolist(), len(raw)])]
+            return [x.ids for x in self.tokenizer.encode_batch(rows, add_special_tokens=False)]
+
+        tokens = np.fromiter(itertools.chain.from_iterable(encoded(begin[alone])), np.uint32)
+        end = np.cumsum(self.bytes[tokens])
+        count = np.searchsorted(end, upto, "right")
+        if len(end) and end[-1] == upto[-1] and count[0] and np.array_equal(end[count - 1], upto):
+            return tokens, np.diff(count, prepend=0), text
+        coded = encoded(begin)
+        return np.fromiter(itertools.chain.from_iterable(coded), np.uint32), np.array([len(x) for x in coded], np.int64), text
+
     def _segment(self, b: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Tokens of a segment, its pieces' starts and their numbers of tokens."""
         starts = self._starts(b, cuts)
@@ -194,13 +229,12 @@ class PieceEncoder:
             slot[met[same]] = own[same]
         new = np.flatnonzero(slot < 0)
         if len(new):
-            raw = [b[i:j].tobytes() for i, j in zip(s[new].tolist(), e[new].tolist(), strict=True)]
-            coded = [x.ids for x in self.tokenizer.encode_batch([x.decode() for x in raw], add_special_tokens=False)]
+            tokens, n, text = self._coded(b, s[new], e[new])
             slot[new] = np.arange(len(self.begin) - 1, len(self.begin) - 1 + len(new))
-            self.begin = np.concatenate((self.begin, self.begin[-1] + np.cumsum([len(x) for x in coded])))
-            self.flat = np.concatenate((self.flat, np.fromiter(itertools.chain.from_iterable(coded), np.uint32)))
-            self.spelt = np.concatenate((self.spelt, self.spelt[-1] + np.cumsum([len(x) for x in raw])))
-            self.text = np.concatenate((self.text, np.frombuffer(b"".join(raw), np.uint8)))
+            self.begin = np.concatenate((self.begin, self.begin[-1] + np.cumsum(n)))
+            self.flat = np.concatenate((self.flat, tokens))
+            self.spelt = np.concatenate((self.spelt, self.spelt[-1] + np.cumsum(e[new] - s[new])))
+            self.text = np.concatenate((self.text, text))
             free = new[~taken[new]]  # of pieces with one hash the cache finds the first alone
             free = free[np.unique(kinds[free], return_index=True)[1]]
             self.known, self.slots = np.insert(self.known, at[free], kinds[free]), np.insert(self.slots, at[free], slot[free].astype(np.int32))
